@@ -1,11 +1,15 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import chat
+from . import chat, lines, sentencepiece_fst, shards
 
 QUERIES = {
+    "op3_shard": shards.op3,
     "op4_chat_format": chat.op4,
+    "op5_line_dedup": lines.op5,
+    "op9_sentencepiece": sentencepiece_fst.op9,
 }
 
 ORACLE = {
     "op4_chat_format": chat.ORACLE_OP4,
+    "op5_line_dedup": lines.ORACLE_OP5,
 }
