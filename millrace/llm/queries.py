@@ -1,11 +1,15 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import chat, lines, sentencepiece_fst, shards
+from . import chat, decontaminate, jaccard, langid, lines, pii, sentencepiece_fst, shards
 
 QUERIES = {
+    "op1_pii": pii.op1,
+    "op2_jaccard_join": jaccard.op2,
     "op3_shard": shards.op3,
     "op4_chat_format": chat.op4,
     "op5_line_dedup": lines.op5,
+    "op7_language_id": langid.op7,
+    "op8_decontaminate": decontaminate.op8,
     "op9_sentencepiece": sentencepiece_fst.op9,
 }
 
