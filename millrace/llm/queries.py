@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import chat, decontaminate, jaccard, langid, lines, pii, sentencepiece_fst, shards
+from . import chat, decontaminate, jaccard, langid, lines, passages, pii, sentencepiece_fst, shards, topk
 
 QUERIES = {
     "op1_pii": pii.op1,
@@ -8,12 +8,15 @@ QUERIES = {
     "op3_shard": shards.op3,
     "op4_chat_format": chat.op4,
     "op5_line_dedup": lines.op5,
+    "op6_top_k": topk.op6,
     "op7_language_id": langid.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_sentencepiece": sentencepiece_fst.op9,
+    "op10_repeated_passages": passages.op10,
 }
 
 ORACLE = {
     "op4_chat_format": chat.ORACLE_OP4,
     "op5_line_dedup": lines.ORACLE_OP5,
+    "op6_top_k": topk.ORACLE_OP6,
 }
