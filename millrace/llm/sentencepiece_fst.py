@@ -36,8 +36,8 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Parts longer than this aren't cached; the cache is emptied at this many entries.
-CACHED_CHARS, CACHE_ENTRIES = 48, 400_000
+#: Parts longer than this aren't cached; a full cache is kept for one more generation, as parts in use move on.
+CACHED_CHARS, CACHE_ENTRIES = 48, 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -117,10 +117,16 @@ class Transducer:
         inner = [p for p in self.ids if MARK in p.lstrip(MARK)]
         if inner:
             raise ValueError(f"pieces with a space mark after other characters: {inner[:3]}")
-        self.longest = max(map(len, self.ids))
         self.alphabet = {c for p in self.ids for c in p}
+        #: Length of the longest piece that begins with these two characters, and neighbours that some piece holds.
+        self.longest: dict[str, int] = {}
+        self.inside: set[str] = set()
+        for p in self.ids:
+            self.longest[p[:2]] = max(self.longest.get(p[:2], 1), len(p))
+            self.inside.update(p[i : i + 2] for i in range(len(p) - 1))
         self.joins: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
     def merged(self, text: str) -> list[str]:
@@ -144,34 +150,45 @@ class Transducer:
             known = self.joins[left, right] = self.merged(left + right) == [left, right]
         return known
 
-    def _arcs(self, text: str, at: int) -> list[str]:
-        ids = self.ids
-        return [p for n in range(min(self.longest, len(text) - at), 0, -1) if (p := text[at : at + n]) in ids]
+    def _span(self, text: str, at: int) -> int:
+        return min(self.longest.get(text[at : at + 2], 1), len(text) - at)
 
     def path(self, text: str) -> list[str]:
         """Shortest path through the composition with a text over the pieces' alphabet."""
-        end, dead = len(text), set()
-        stack: list[tuple[int, str, Iterator[str]]] = [(0, "", iter(self._arcs(text, 0)))]
-        while stack:
-            at, last, arcs = stack[-1]
-            for piece in arcs:
-                to = at + len(piece)
-                if (to, piece) in dead or (last and not self.joins_well(last, piece)):
+        ids, joins, end = self.ids, self.joins, len(text)
+        dead: set[tuple[int, str]] = set()
+        ats, lasts, spans = [0], [""], [self._span(text, 0)]
+        while ats:
+            at, last, n = ats[-1], lasts[-1], spans[-1]
+            while n:
+                piece = text[at : at + n]
+                to, n = at + n, n - 1
+                if piece not in ids or (dead and (to, piece) in dead):
                     continue
+                if last:
+                    known = joins.get((last, piece))
+                    if not (self.joins_well(last, piece) if known is None else known):
+                        continue
                 if to == end:
-                    return [x[1] for x in stack[1:]] + [piece]
-                stack.append((to, piece, iter(self._arcs(text, to))))
+                    return [*lasts[1:], piece]
+                spans[-1] = n
+                ats.append(to)
+                lasts.append(piece)
+                spans.append(self._span(text, to))
                 break
             else:
                 dead.add((at, last))
-                stack.pop()
+                ats.pop()
+                lasts.pop()
+                spans.pop()
         return self._relaxed(text)
 
     def _relaxed(self, text: str) -> list[str]:
         best: list[dict[str, tuple]] = [{} for _ in range(len(text) + 1)]
         best[0][""] = ((0, 0.0), None)
         for at in range(len(text)):
-            arcs = self._arcs(text, at) if best[at] else []
+            spans = range(1, self._span(text, at) + 1) if best[at] else ()
+            arcs = [text[at : at + n] for n in spans if text[at : at + n] in self.ids]
             for last, (weight, _) in best[at].items():
                 for piece in arcs:
                     bad = bool(last) and not self.joins_well(last, piece)
@@ -187,24 +204,23 @@ class Transducer:
         return out[::-1]
 
     def part(self, text: str) -> bytes:
-        """Packed int32 ids of one part of a normalised text."""
-        out: list[int] = []
-        spelled = ""
-        for c in text if not self.alphabet.issuperset(text) else ():
-            if c in self.alphabet:
-                spelled += c
-                continue
-            out += [self.ids[p] for p in self.path(spelled)] if spelled else []
-            out += [self.byte_ids[b] for b in c.encode("utf-8", "replace")]
-            spelled = ""
-        if self.alphabet.issuperset(text):
-            spelled = text
-        out += [self.ids[p] for p in self.path(spelled)] if spelled else []
-        packed = np.array(out, "<i4").tobytes()
+        """Packed int32 ids of one part of a normalised text. Between two characters that no piece holds side by side
+        it falls into parts of its own."""
+        packed = self.older.get(text)
+        if packed is None:
+            inside, n = self.inside, len(text)
+            cuts = [i for i in range(1, n) if text[i - 1 : i + 1] not in inside]
+            if cuts:
+                ends = [0, *cuts, n]
+                parts = [text[a:b] for a, b in zip(ends, ends[1:])]
+                packed = b"".join([hit if (hit := self.cache.get(p)) is not None else self.part(p) for p in parts])
+            elif n == 1 and text not in self.alphabet:
+                packed = np.array([self.byte_ids[b] for b in text.encode("utf-8", "replace")], "<i4").tobytes()
+            else:
+                packed = np.array([self.ids[p] for p in self.path(text)], "<i4").tobytes()
         if len(text) <= CACHED_CHARS:
             if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-                self.cache[""] = b""
+                self.older, self.cache = self.cache, {"": b""}
             self.cache[text] = packed
         return packed
 
@@ -215,8 +231,8 @@ class Transducer:
             parts = self.cut.findall(MARK + text.replace(" ", MARK))
         else:
             parts = (MARK + text).replace(" ", "\x01" + MARK).replace("\n", "\x01\n\x01").split("\x01")
-        get, part = self.cache.get, self.part
-        return np.frombuffer(b"".join([hit if (hit := get(p)) is not None else part(p) for p in parts]), "<i4")
+        part, cache = self.part, self
+        return np.frombuffer(b"".join([hit if (hit := cache.cache.get(p)) is not None else part(p) for p in parts]), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.surface.__getitem__, ids.tolist()))
