@@ -21,32 +21,31 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, drop array<struct<a, b>>) of pages (host, lines). A host's array is short: lines on more than `ratio` of its
+    """(host, gone array<struct<a, b>>) of pages (host, lines). A host's array is short: lines on more than `ratio` of its
     pages number at most the mean lines of a page / ratio."""
     judged = pages.where(F.col("host").isNotNull())
     keys = F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), lambda x: _key(F.trim(x))))
     counts = judged.select("host", F.explode(keys).alias("k")).groupBy("host", "k").agg(F.count("*").alias("n"))
     totals = judged.groupBy("host").agg(F.count("*").alias("total"))
     common = counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") > ratio * F.col("total"))
-    return common.groupBy("host").agg(F.collect_list("k").alias("drop"))
-
-
-def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages (with host, lines) plus n_lines, n_dropped and lines without the host's boilerplate. The boilerplate table
-    is written first, so the planner sees its true size and broadcasts it only under the session's threshold."""
-    found = materialise(boilerplate_lines(pages, ratio, min_pages), "boilerplate")
-    own = found.select(F.col("host").alias("_host"), "drop")
-    joined = pages.join(own, F.col("host") == F.col("_host"), "left").drop("_host")
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda x: ~F.array_contains("drop", _key(F.trim(x))) | (F.trim(x) == ""))
-    )
-    out = joined.withColumn("_kept", kept)
-    return out.select(
-        *[c for c in pages.columns if c != "lines"],
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-        F.col("_kept").alias("lines"),
+    return common.groupBy("host").agg(F.collect_list("k").alias("gone"))
+
+
+def drop_boilerplate(
+    pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES
+) -> tuple[DataFrame, Column, Column]:
+    """(pages with private columns added, their lines, their lines without the host's boilerplate). The boilerplate
+    table is written first, so the planner sees its true size and broadcasts it only under the session's threshold."""
+    held = pages.withColumns({"_millrace_host": host, "_millrace_lines": lines})
+    narrow = held.select(F.col("_millrace_host").alias("host"), F.col("_millrace_lines").alias("lines"))
+    found = materialise(boilerplate_lines(narrow, ratio, min_pages), "boilerplate")
+    found = found.select(F.col("host").alias("_millrace_host"), F.col("gone").alias("_millrace_gone"))
+    joined = held.join(found, "_millrace_host", "left")
+    every, gone = F.col("_millrace_lines"), F.col("_millrace_gone")
+    kept = F.when(gone.isNull(), every).otherwise(
+        F.filter(every, lambda x: ~F.array_contains(gone, _key(F.trim(x))) | (F.trim(x) == ""))
     )
+    return joined, every, kept
 
 
 def host_of(url: Column) -> Column:
@@ -66,18 +65,17 @@ def html_lines(html: Column) -> Column:
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """Pages without the boilerplate lines of their hosts."""
-    pages = table(spark, sf_dir, "pages").select(
-        "page_id", host_of(F.col("url")).alias("host"), html_lines(text_of("html")).alias("lines")
-    )
-    out = drop_boilerplate(pages)
-    return out.select("page_id", "host", "n_lines", "n_dropped", F.array_join("lines", "\n").alias("text"))
+    pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(text_of("html")).alias("lines"))
+    out, every, kept = drop_boilerplate(pages, F.col("host"), F.col("lines"))
+    out = out.select("page_id", "host", F.size(every).cast("long").alias("n_lines"), kept.alias("kept"))
+    n_dropped = (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped")
+    return out.select("page_id", "host", "n_lines", n_dropped, F.array_join("kept", "\n").alias("text"))
 
 
 def dedup_document_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The same rows and columns, each text without the boilerplate lines of its host (`host_col`)."""
-    pages = docs.withColumns({"host": F.col(host_col), "lines": F.split(text_of(text_col), "\n", -1)})
-    out = drop_boilerplate(pages)
-    text = F.when(F.col(text_col).isNotNull(), F.array_join("lines", "\n"))
+    out, _, kept = drop_boilerplate(docs, F.col(host_col), F.split(text_of(text_col), "\n", -1))
+    text = F.when(F.col(text_col).isNotNull(), F.array_join(kept, "\n"))
     return out.withColumn(text_col, text).select(*docs.columns)
 
 

@@ -221,7 +221,7 @@ def find_personal_data(
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with personal data masked by kind, generalised terms as [TERM] and removed terms left out."""
     found = find_personal_data(df, id_col, text_col, **options)
-    spans = found.where("base <> ''").select(F.col("doc_id").alias("_d"), "base", "terms").distinct()
+    spans = found.where("base <> ''").select(F.col("doc_id").alias("_d"), F.col("base").alias("_base"), F.col("terms").alias("_terms")).distinct()
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
@@ -237,8 +237,8 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
             out.append(None if text is None else "".join([*parts, text[at:]]))
         return pd.Series(out)
 
-    joined = df.join(spans, df[id_col].eqNullSafe(spans["_d"]) , "left")
-    return joined.withColumn(text_col, masked(text_col, "base", "terms")).select(*df.columns)
+    joined = df.join(spans, df[id_col].eqNullSafe(spans["_d"]), "left")
+    return joined.withColumn(text_col, masked(text_col, "_base", "_terms")).select(*df.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
