@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_jaccard_join": jaccard.ORACLE_OP2,
     "op4_chat_format": chat.ORACLE_OP4,
     "op5_line_dedup": lines.ORACLE_OP5,
     "op6_top_k": topk.ORACLE_OP6,
