@@ -35,14 +35,19 @@ def _translate(text: Column, table: dict[str, str]) -> Column:
 
 @F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
-    """Canonical composition, which Spark lacks; ASCII texts pass through."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+    """Canonical composition, which Spark lacks."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(text: Column) -> Column:
+    """The NFC form. Characters below U+0300 are composed as they stand, so only other texts are sent to Python."""
+    return F.coalesce(nfc(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
 
 
 def normalize(text: Column, keep_apostrophe: bool = True, compose: bool = True) -> Column:
     """compose=False leaves out the one step that needs Python, for texts known to be composed already."""
     text = F.coalesce(text, F.lit(""))
-    text = F.lower(_translate(nfc(text) if compose else text, FOLD))
+    text = F.lower(_translate(composed(text) if compose else text, FOLD))
     text = _translate(text, HOMOGLYPHS)
     text = F.translate(text, PUNCTUATION, " " * len(PUNCTUATION))
     if not keep_apostrophe:
