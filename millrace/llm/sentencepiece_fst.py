@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,9 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Parts longer than this aren't cached; a full cache is kept for one more generation, as parts in use move on.
-CACHED_CHARS, CACHE_ENTRIES = 48, 300_000
+#: Parts longer than this aren't cached; a full cache is kept for one more generation, as parts in use move on. Joins of
+#: two pieces are kept up to their own bound. Together some 80 MB a worker.
+CACHED_CHARS, CACHE_ENTRIES, JOIN_ENTRIES = 48, 120_000, 250_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -124,7 +126,7 @@ class Transducer:
         for p in self.ids:
             self.longest[p[:2]] = max(self.longest.get(p[:2], 1), len(p))
             self.inside.update(p[i : i + 2] for i in range(len(p) - 1))
-        self.joins: dict[tuple[str, str], bool] = {}
+        self.joins: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
@@ -143,37 +145,41 @@ class Transducer:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
     def joins_well(self, left: str, right: str) -> bool:
-        known = self.joins.get((left, right))
+        key = self.ids[left] << 32 | self.ids[right]
+        known = self.joins.get(key)
         if known is None:
-            if len(self.joins) > 4 * CACHE_ENTRIES:
+            if len(self.joins) >= JOIN_ENTRIES:
                 self.joins.clear()
-            known = self.joins[left, right] = self.merged(left + right) == [left, right]
+            known = self.joins[key] = self.merged(left + right) == [left, right]
         return known
 
     def _span(self, text: str, at: int) -> int:
         return min(self.longest.get(text[at : at + 2], 1), len(text) - at)
 
-    def path(self, text: str) -> list[str]:
-        """Shortest path through the composition with a text over the pieces' alphabet."""
-        ids, joins, end = self.ids, self.joins, len(text)
-        dead: set[tuple[int, str]] = set()
-        ats, lasts, spans = [0], [""], [self._span(text, 0)]
+    def path(self, text: str) -> list[int]:
+        """Ids of the shortest path through the composition with a text over the pieces' alphabet."""
+        find, known, end = self.ids.get, self.joins.get, len(text)
+        dead: set[tuple[int, int]] = set()
+        ats, lasts, spans = [0], [-1], [self._span(text, 0)]
         while ats:
             at, last, n = ats[-1], lasts[-1], spans[-1]
             while n:
                 piece = text[at : at + n]
                 to, n = at + n, n - 1
-                if piece not in ids or (dead and (to, piece) in dead):
+                number = find(piece)
+                if number is None or (dead and (to, number) in dead):
                     continue
-                if last:
-                    known = joins.get((last, piece))
-                    if not (self.joins_well(last, piece) if known is None else known):
+                if last >= 0:
+                    fine = known(last << 32 | number)
+                    if fine is None:
+                        fine = self.joins_well(text[ats[-2] : at], piece)
+                    if not fine:
                         continue
                 if to == end:
-                    return [*lasts[1:], piece]
+                    return [*lasts[1:], number]
                 spans[-1] = n
                 ats.append(to)
-                lasts.append(piece)
+                lasts.append(number)
                 spans.append(self._span(text, to))
                 break
             else:
@@ -181,7 +187,7 @@ class Transducer:
                 ats.pop()
                 lasts.pop()
                 spans.pop()
-        return self._relaxed(text)
+        return [self.ids[p] for p in self._relaxed(text)]
 
     def _relaxed(self, text: str) -> list[str]:
         best: list[dict[str, tuple]] = [{} for _ in range(len(text) + 1)]
@@ -209,15 +215,16 @@ class Transducer:
         packed = self.older.get(text)
         if packed is None:
             inside, n = self.inside, len(text)
-            cuts = [i for i in range(1, n) if text[i - 1 : i + 1] not in inside]
+            plain = text[1:].isalpha() and self.alphabet.issuperset(text)
+            cuts = () if plain else [i for i in range(1, n) if text[i - 1 : i + 1] not in inside]
             if cuts:
                 ends = [0, *cuts, n]
                 parts = [text[a:b] for a, b in zip(ends, ends[1:])]
                 packed = b"".join([hit if (hit := self.cache.get(p)) is not None else self.part(p) for p in parts])
             elif n == 1 and text not in self.alphabet:
-                packed = np.array([self.byte_ids[b] for b in text.encode("utf-8", "replace")], "<i4").tobytes()
+                packed = pack(f"<{len(codes := text.encode('utf-8', 'replace'))}i", *[self.byte_ids[b] for b in codes])
             else:
-                packed = np.array([self.ids[p] for p in self.path(text)], "<i4").tobytes()
+                packed = pack(f"<{len(ids := self.path(text))}i", *ids)
         if len(text) <= CACHED_CHARS:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.older, self.cache = self.cache, {"": b""}
