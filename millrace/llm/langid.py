@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -122,12 +122,20 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN:
-    """Trains on a bounded sample: ids and labels are ranked without their texts, then the chosen texts' windows, at
-    most SAMPLE_DOCS x WINDOWS_EACH x WINDOW bytes a language, come to the driver."""
+    """Trains on a bounded sample: ids are drawn without their texts, then the chosen texts' windows, at most
+    SAMPLE_DOCS x WINDOWS_EACH x WINDOW bytes a language, come to the driver."""
     rows = df.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     known = rows.where(F.col("l").isNotNull() & ~held_out("i"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i", F.lit(SEED)), "i"))
-    ids = [r[0] for r in known.select("i", "l").withColumn("r", rank).where(F.col("r") <= SAMPLE_DOCS).select("i").collect()]
+    # Ids are drawn by hash, somewhat more than needed of each language, so nothing is ranked in one task.
+    counts = {r["l"]: r["count"] for r in known.groupBy("l").count().collect()}
+    draw = F.pmod(F.xxhash64("i", F.lit(SEED)), F.lit(1 << 30))
+    share = F.lit(0)
+    for lang, n in counts.items():
+        share = F.when(F.col("l") == lang, int(min(1.0, 1.3 * SAMPLE_DOCS / n) * (1 << 30))).otherwise(share)
+    drawn: dict[str, list[tuple]] = {}
+    for r in known.select("l", "i", draw.alias("h")).where(F.col("h") < share).collect():
+        drawn.setdefault(r["l"], []).append((r["h"], r["i"]))
+    ids = [i for rows in drawn.values() for _, i in sorted(set(rows))[:SAMPLE_DOCS]]
     data = F.encode("t", "utf-8")
     spread = F.transform(
         F.sequence(F.lit(0), F.lit(WINDOWS_EACH - 1)),
