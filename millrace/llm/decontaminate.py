@@ -9,7 +9,7 @@ their word shingles (sum of smaller counts / sum of larger counts), which must r
 Windows that share no shingle with any item of their length have similarity 0 and aren't fingerprinted. SimHash itself
 is an estimate: a window whose fingerprint lies beyond the radius is no candidate, however similar it is.
 
-Words end at white space and ASCII punctuation, A-Z count as a-z. A text shorter than an item is one window. Items with
+Texts are lower-cased, words end at white space and ASCII punctuation. A text shorter than an item is one window. Items with
 fewer words than a shingle are one shingle; items and texts without words (or null) match nothing. Items are handled in
 blocks of BLOCK_ITEMS, each sent whole to the executors. Repeated rows and items give repeated results, null ids are
 kept; columns besides id and text are ignored; empty tables give no rows.
@@ -162,7 +162,7 @@ class Benchmark:
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, **options) -> Iterator[Benchmark]:
     """The items in blocks of a bounded size, streamed to the driver one partition at a time."""
     ids, texts, size = [], [], 0
-    for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
+    for row in benchmark.select(F.col(id_col).cast("long"), F.lower(text_col)).toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
         size += len(row[1] or "") * 4
@@ -178,7 +178,7 @@ def find_contamination(
 ) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, end_word): a row for each text and item that matches."""
     schema = "doc_id long, item_id long, similarity double, first_word long, end_word long"
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("text"))
 
     def scan(items: Benchmark) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,16 +203,17 @@ def find_contamination(
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", **options) -> DataFrame:
     """The rows of df whose text matches no item. Rows are filtered where they lie."""
+    lower = "_millrace_lower"
     for items in _blocks(benchmark, item_col, "text", **options):
 
         def run(batches: Iterator[pa.RecordBatch], items: Benchmark = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for lo, _, words in W.chunks(batch.column(text_col), _SEP):
+                for lo, _, words in W.chunks(batch.column(lower), _SEP):
                     keep[[lo + t for t in items.matches(words)]] = False
-                yield batch.filter(pa.array(keep))
+                yield batch.drop_columns([lower]).filter(pa.array(keep))
 
-        df = df.mapInArrow(run, df.schema)
+        df = df.withColumn(lower, F.lower(text_col)).mapInArrow(run, df.schema)
     return df
 
 

@@ -10,7 +10,7 @@ from millrace.llm import words as W
 
 
 def plain_words(text):
-    return re.findall(r"[^\s!-/:-@\[-`{-~]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return re.findall(r"[^\s!-/:-@\[-`{-~]+", (text or "").lower())
 
 
 def shingles(w, n):
