@@ -53,3 +53,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def text_of(col: str | Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def tidy(run):
+    """A batch function that gives freed memory back to the system when its task ends: workers live on, and with them
+    what allocators keep."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library has no such call
+                pass
+
+    return tidied

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import table
+from .common import table, tidy
 
 WORDS, P, Q = 5, 80, 100
 RADIUS, BLOCKS = 11, 4
@@ -192,7 +192,7 @@ def find_contamination(
                     columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "similarity", "first_word", "end_word"])
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(tidy(run), schema)
 
     out = None
     for items in _blocks(benchmark, item_col, "text", **options):
@@ -213,7 +213,7 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
                     keep[[lo + t for t in items.matches(words)]] = False
                 yield batch.drop_columns([lower]).filter(pa.array(keep))
 
-        df = df.withColumn(lower, F.lower(text_col)).mapInArrow(run, df.schema)
+        df = df.withColumn(lower, F.lower(text_col)).mapInArrow(tidy(run), df.schema)
     return df
 
 

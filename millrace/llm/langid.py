@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import table
+from .common import table, tidy
 
 WINDOW, WIDTHS, FILTERS, DIMS = 256, (2, 3, 4), 8, 8
 SAMPLE_DOCS, WINDOWS_EACH, EPOCHS, LEAST_STEPS, SEED = 400, 6, 6, 200, 17
@@ -191,7 +191,7 @@ def predict(df: DataFrame, net: ByteCNN, text_col: str = "text") -> DataFrame:
             new = [pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, "lang_pred", "score"])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return df.select(*kept).mapInArrow(tidy(run), schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

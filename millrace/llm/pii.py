@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialise, table
+from .common import materialise, table, tidy
 
 CONTEXT, SUPPORT, ALPHA, REMOVE = 8, 3, 0.8, 0.95
 KINDS = ("email", "ip", "card", "phone")
@@ -183,7 +183,7 @@ def _typed(rows: DataFrame, run) -> DataFrame:
                     arrays.append(pa.array(list(frame[c]) if frame[c].dtype == object else frame[c].to_numpy(), types[c]))
             yield pa.RecordBatch.from_arrays(arrays, names=order)
 
-    return rows.mapInArrow(wrapped, _SCAN)
+    return rows.mapInArrow(tidy(wrapped), _SCAN)
 
 
 def disclosing_terms(scan: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -291,7 +291,7 @@ def encode_decode(df: DataFrame, model_path: str = MODEL, text_col: str = "text"
                     [*[batch.column(c) for c in kept], *new], names=[*kept, *[f.name for f in added]]
                 )
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return df.select(*kept).mapInArrow(tidy(run), schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
