@@ -1,14 +1,16 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms around them.
 
 Protected entities are the values that the patterns find (an address, a number). The corpus estimates how strongly a
-term t reveals an entity c: with T words in all, n(t) of them t, w(c) words within CONTEXT words of a mention of c and
-n(c, t) of those t, the pointwise mutual information log(n(c, t) T / (w(c) n(t))) reaches the entity's information
-content log(T / w(c)) when t occurs nowhere else. Terms in c's contexts with PMI >= ALPHA * IC and n(c, t) >= SUPPORT
-are sanitised there: removed at a share of REMOVE or more, else generalised.
-
-All counts cover all texts. Texts are read once; contexts are as many as mentions. Words end at white space and ASCII
-punctuation, A-Z count as a-z, words without a letter or under three characters are no terms. A null text is empty.
-Ids may be null or repeated; columns besides id and text are ignored; an empty table gives no rows.
+term t reveals an entity c, by words and by texts. By words: with T words in all, n(t) of them t, w(c) words within
+CONTEXT words of a mention of c and n(c, t) of those t, the pointwise mutual information log(n(c, t) T / (w(c) n(t)))
+reaches the entity's information content log(T / w(c)) when t occurs nowhere else. By texts, T, n(t), w(c) and n(c, t)
+count the texts that there are, that hold t, c or both, however far apart. Terms with PMI >= ALPHA * IC and
+n(c, t) >= SUPPORT by either are sanitised wherever they stand, in texts without the entity too: removed at a share of
+REMOVE or more, else generalised.
+
+All counts cover all texts. Texts are read twice, for counts and for marks. Words end at white space and ASCII
+punctuation, A-Z count as a-z, words without a letter or under three characters are no terms, nor are words of a mention.
+A null text is empty. Ids may be null or repeated; columns besides id and text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile("[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _FLUSH = 1_000_000
+#: Judged terms that a worker holds at once; more are marked block by block.
+BLOCK = 2_000_000
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -90,138 +94,186 @@ def _entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else re.sub('[^0-9]', '', value)}"
 
 
-def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int]]:
-    """(entity, term hash, start, end) of the terms around each mention, outside all mentions."""
+def _free_terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, is a term outside all mentions) of a text's words."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     words = W.Words(data, np.array([0, len(data)]), _SEP)
     place = np.cumsum((data & 0xC0) != 0x80)
     start, end = place[words.start] - 1, place[words.end - 1]
-    free = np.ones(len(start), bool)
+    free = end - start > 2
     for a, _, b in spans:
         free[np.searchsorted(end, a, "right") : np.searchsorted(start, b, "left")] = False
-    out = []
-    for a, kind, b in spans:
-        lo, hi = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b, "left"))
-        for i in [*range(max(0, lo - CONTEXT), lo), *range(hi, min(len(start), hi + CONTEXT))]:
-            term = text[start[i] : end[i]]
-            if free[i] and len(term) > 2 and any(c.isalpha() for c in term):
-                out.append((_entity(kind, text[a:b]), int(words.hash[i].view(np.int64)), int(start[i]), int(end[i])))
-    return out
+    for i in np.flatnonzero(free):
+        free[i] = any(c.isalpha() for c in text[start[i] : end[i]])
+    return words.hash.view(np.int64), start, end, free
 
 
-_SCAN = (
-    "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base string, "
-    "contexts array<struct<entity:string,term:long,start:int,end:int>>, term long, n long"
-)
+def _near(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[str, int]], list[str], list[int]]:
+    """((entity, term) around each mention, the text's entities, its terms)."""
+    terms, start, end, free = _free_terms(text, spans)
+    near = []
+    for a, kind, b in spans:
+        lo, hi = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b, "left"))
+        around = [*range(max(0, lo - CONTEXT), lo), *range(hi, min(len(start), hi + CONTEXT))]
+        near += [(_entity(kind, text[a:b]), int(terms[i])) for i in around if free[i]]
+    return near, sorted({_entity(kind, text[a:b]) for a, kind, b in spans}), np.unique(terms[free]).tolist()
+
+
+_SCAN = "contexts array<struct<entity:string,term:long>>, entities array<string>, terms array<long>, term long, n long, held long"
+_CONTEXT = pa.struct([("entity", pa.string()), ("term", pa.int64())])
+_KINDS = {
+    "contexts": pa.list_(_CONTEXT),
+    "entities": pa.list_(pa.string()),
+    "terms": pa.list_(pa.int64()),
+    **{c: pa.int64() for c in ("term", "n", "held")},
+}
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, *(np.bincount(back, weights=np.concatenate([p[i] for p in parts])).astype(np.int64) for i in (1, 2))
+
+
+def _counts(words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, occurrences, texts that hold it) of the words of some texts."""
+    text = np.repeat(np.arange(len(words.ptr) - 1), np.diff(words.ptr))
+    order = np.lexsort((text, words.hash))
+    hashes, text = words.hash[order], text[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    held = new.copy()
+    held[1:] |= text[1:] != text[:-1]
+    group = np.cumsum(new) - 1
+    return hashes[new], np.bincount(group), np.bincount(group, weights=held).astype(np.int64)
+
+
+def _batch(columns: dict) -> pa.RecordBatch:
+    size = len(next(iter(columns.values())))
+    arrays = [pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in _KINDS.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(_KINDS))
+
+
+def _scan(df: DataFrame, text_col: str) -> DataFrame:
+    """A row for each text with mentions, and rows (term, n, held) of word and text counts, told apart by null n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            rows = [_near(t, spans) for t in texts if (spans := base_spans(t))]
+            if rows:
+                yield _batch(dict(zip(("contexts", "entities", "terms"), _pairs(rows))))
+            for _, _, words in W.chunks(W.strings(texts), _SEP):
+                parts.append(_counts(words))
+                size += len(parts[-1][0])
+                if size > _FLUSH:
+                    parts = [_summed(parts)]
+                    size = len(parts[0][0])
+                    if size > _FLUSH // 2:
+                        yield _batch({"term": parts[0][0].view(np.int64), "n": parts[0][1], "held": parts[0][2]})
+                        parts, size = [], 0
+        if parts:
+            keys, n, held = _summed(parts)
+            yield _batch({"term": keys.view(np.int64), "n": n, "held": held})
 
+    return df.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), _SCAN)
 
-def _scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each text with its mentions and contexts, and rows (term, n) of word counts, told apart by null n."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+def _pairs(rows: list) -> tuple[list, list, list]:
+    contexts = [[{"entity": e, "term": t} for e, t in near] for near, _, _ in rows]
+    return contexts, [r[1] for r in rows], [r[2] for r in rows]
 
-        def flush() -> pd.DataFrame:
-            keys, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate([h[1] for h in held])).astype(np.int64)
-            return pd.DataFrame({"term": keys.view(np.int64), "n": n})
 
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                text = text or ""
-                spans = base_spans(text)
-                near = _contexts(text, spans) if spans else []
-                key = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest() if near else None
-                n = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
-                rows.append((doc, key, *n, told(spans), near))
-            yield pd.DataFrame(rows, columns=["doc_id", "row_key", "n_email", "n_ip", "n_card", "n_phone", "base", "contexts"])
-            for _, _, words in W.chunks(W.strings(list(batch["text"])), _SEP):
-                held.append(np.unique(words.hash, return_counts=True))
-                size += len(held[-1][0])
-                if size > _FLUSH:
-                    keys, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-                    held = [(keys, np.bincount(back, weights=np.concatenate([h[1] for h in held])).astype(np.int64))]
-                    size = len(keys)
-                    if size > _FLUSH // 2:
-                        yield pd.DataFrame({"term": keys.view(np.int64), "n": held[0][1]})
-                        held, size = [], 0
-        if held:
-            yield flush()
-
-    return _typed(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run)
-
-
-def _typed(rows: DataFrame, run) -> DataFrame:
-    """mapInArrow around a function that takes columns and gives frames with some of _SCAN's columns."""
-    context = pa.struct([("entity", pa.string()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-    types = {
-        **{c: pa.int64() for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "term", "n")},
-        **{c: pa.string() for c in ("row_key", "base")},
-        "contexts": pa.list_(context),
-    }
-    order = [c.strip().split(" ")[0] for c in re.sub("<.*>", "", _SCAN).split(",")]
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def columns() -> Iterator[dict]:
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 1024):
-                    part = whole.slice(lo, 1024)
-                    yield {"doc_id": part.column(0).to_pylist(), "text": part.column(1).to_pylist()}
-
-        for frame in run(columns()):
-            arrays = []
-            for c in order:
-                if c not in frame:
-                    arrays.append(pa.nulls(len(frame), types[c]))
-                elif c == "contexts":
-                    lists = [[dict(zip(("entity", "term", "start", "end"), x)) for x in near] for near in frame[c]]
-                    arrays.append(pa.array(lists, types[c]))
-                elif c == "doc_id":
-                    arrays.append(pa.array([None if pd.isna(d) else int(d) for d in frame[c]], types[c]))
-                else:
-                    arrays.append(pa.array(list(frame[c]) if frame[c].dtype == object else frame[c].to_numpy(), types[c]))
-            yield pa.RecordBatch.from_arrays(arrays, names=order)
-
-    return rows.mapInArrow(tidy(wrapped), _SCAN)
-
-
-def disclosing_terms(scan: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, share): terms whose PMI with an entity is at least alpha of the entity's information content."""
-    near = scan.where("n is null").select(F.explode("contexts").alias("x")).select("x.entity", "x.term")
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both"))
-    entities = pairs.groupBy("entity").agg(F.sum("both").alias("around"))
-    counts = scan.where("n is not null").groupBy("term").agg(F.sum("n").alias("n"))
-    total = F.lit(float(scan.where("n is not null").agg(F.sum("n")).first()[0] or 0))
-    known = pairs.where(F.col("both") >= support).join(entities, "entity").join(counts, "term")
+def _judged(pairs: DataFrame, around: DataFrame, counts: DataFrame, total: float, alpha: float, support: int) -> DataFrame:
+    """(entity, term, share) of pairs (entity, term, both), (entity, around) and (term, n)."""
+    total = F.lit(float(total))
+    known = pairs.where(F.col("both") >= support).join(around, "entity").join(counts, "term")
     pmi = F.log(F.col("both") * total / (F.col("around") * F.col("n")))
     content = F.log(total / F.col("around"))
     share = F.when(content > 0, pmi / content)
     return known.select("entity", "term", share.alias("share")).where(F.col("share") >= alpha)
 
 
+def disclosing_terms(scan: DataFrame, n_texts: int, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, share): terms whose PMI with an entity, by words or by texts, is at least alpha of the entity's
+    information content."""
+    found = scan.where("n is null")
+    counts = scan.where("n is not null").groupBy("term").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    total = scan.where("n is not null").agg(F.sum("n")).first()[0] or 0
+    near = found.select(F.explode("contexts").alias("x")).select("x.entity", "x.term")
+    near = near.groupBy("entity", "term").agg(F.count("*").alias("both"))
+    around = near.groupBy("entity").agg(F.sum("both").alias("around"))
+    by_words = _judged(near, around, counts.select("term", "n"), total, alpha, support)
+    # An entity in fewer texts than the support has no term that is in as many with it.
+    holders = found.select(F.explode("entities").alias("entity"), "terms")
+    around = holders.groupBy("entity").agg(F.count("*").alias("around")).where(F.col("around") >= support)
+    both = holders.join(around.select("entity"), "entity", "left_semi").select("entity", F.explode("terms").alias("term"))
+    both = both.groupBy("entity", "term").agg(F.count("*").alias("both"))
+    by_texts = _judged(both, around, counts.select("term", F.col("held").alias("n")), n_texts, alpha, support)
+    return by_words.union(by_texts).groupBy("entity", "term").agg(F.max("share").alias("share"))
+
+
+_MARKED = (
+    "doc_id long, text string, row_key string, n_email long, n_ip long, n_card long, n_phone long, base string, "
+    "terms array<struct<start:int,end:int,removed:boolean>>"
+)
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())])
+
+
+def _mark(rows: DataFrame, terms: np.ndarray, removed: np.ndarray) -> DataFrame:
+    """Rows (doc_id, text, terms) with what the patterns find, and the places of `terms` (sorted) added to theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.strip().split(" ")[0] for c in re.sub("<.*>", "", _MARKED).split(",")]
+        kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), pa.list_(_SPAN)]
+        for batch in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            hit = np.zeros(len(texts), bool)
+            for lo, _, words in W.chunks(W.strings(texts), _SEP) if len(terms) else ():
+                at = np.flatnonzero(np.isin(words.hash.view(np.int64), terms))
+                hit[lo + np.searchsorted(words.ptr, at, "right") - 1] = True
+            out = []
+            for text, found, has in zip(texts, batch.column(2).to_pylist(), hit.tolist()):
+                spans = base_spans(text)
+                if has:
+                    own, start, end, free = _free_terms(text, spans)
+                    at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+                    for i in np.flatnonzero(free & (terms[at] == own)):
+                        found.append({"start": int(start[i]), "end": int(end[i]), "removed": bool(removed[at[i]])})
+                key = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest() if spans or found else None
+                out.append((key, *[sum(k == kind for _, k, _ in spans) for kind in range(4)], told(spans), found))
+            columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
+
+    return rows.select("doc_id", "text", "terms").mapInArrow(tidy(run), _MARKED)
+
+
+def _marked(df: DataFrame, id_col: str, text_col: str, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """The texts with their mentions and disclosing terms; one row for each of df."""
+    scan = materialise(_scan(df, text_col), "personal-data")
+    judged = disclosing_terms(scan, df.count(), alpha, support).groupBy("term").agg(F.max("share").alias("share"))
+    judged = materialise(judged.select("term", (F.col("share") >= REMOVE).alias("removed")), "disclosing-terms")
+    blocks = max(1, -(-judged.count() // BLOCK))
+    empty = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), empty.alias("terms"))
+    for i in range(blocks):
+        part = judged.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).orderBy("term").toArrow()
+        rows = _mark(rows, part.column(0).to_numpy(), part.column(1).to_numpy())
+    return rows.withColumn("terms", F.sort_array("terms"))
+
+
 def find_personal_data(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT
 ) -> DataFrame:
     """(doc_id, row_key, n_email, n_ip, n_card, n_phone, base, terms array<struct<start, end, removed>>)."""
-    scan = materialise(_scan(df, id_col, text_col), "personal-data")
-    docs = scan.where("n is null")
-    near = docs.select("doc_id", "row_key", F.explode("contexts").alias("x")).select("doc_id", "row_key", "x.*")
-    terms = near.join(disclosing_terms(scan, alpha, support), ["entity", "term"])
-    spans = terms.groupBy("doc_id", "row_key", "start", "end").agg((F.max("share") >= REMOVE).alias("removed"))
-    spans = spans.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms")
-    )
-    out = docs.drop("contexts", "term", "n")
-    empty = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    joined = out.join(spans, out["doc_id"].eqNullSafe(spans["d"]) & (out["row_key"] == spans["k"]), "left")
-    return joined.drop("d", "k").withColumn("terms", F.coalesce("terms", empty))
+    return _marked(df, id_col, text_col, alpha, support).drop("text")
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with personal data masked by kind, generalised terms as [TERM] and removed terms left out."""
-    found = find_personal_data(df, id_col, text_col, **options)
-    spans = found.where("base <> ''").select(F.col("doc_id").alias("_d"), F.col("base").alias("_base"), F.col("terms").alias("_terms")).distinct()
+    found = _marked(df, id_col, text_col, **options).where("base <> '' OR size(terms) > 0")
+    names = {"doc_id": "_d", "base": "_base", "terms": "_terms"}
+    spans = found.select(*[F.col(c).alias(n) for c, n in names.items()], F.xxhash64("text").alias("_h")).distinct()
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
@@ -237,7 +289,8 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
             out.append(None if text is None else "".join([*parts, text[at:]]))
         return pd.Series(out)
 
-    joined = df.join(spans, df[id_col].eqNullSafe(spans["_d"]), "left")
+    same = df[id_col].eqNullSafe(spans["_d"]) & (F.xxhash64(df[text_col]) == spans["_h"])
+    joined = df.join(spans, same, "left")
     return joined.withColumn(text_col, masked(text_col, "_base", "_terms")).select(*df.columns)
 
 

@@ -85,6 +85,20 @@ def test_disclosing_terms_match_counts_by_hand(spark):
     assert "@" not in clean[0] and "codename0" not in clean[0] and clean[100] == rows[12][1]
 
 
+def test_terms_far_from_a_mention_and_in_texts_without_it(spark):
+    far = " ".join(["the plan about nothing wrote the text to nobody"] * 3)
+    rows = [(i, f"Dossier Zanzibar{i % 3} {far} boss{i % 3}@x.org") for i in range(18)]
+    rows += [(100 + i, far) for i in range(300)]
+    rows += [(900, f"{far} zanzibar1 {far}"), (901, f"zanzibar2 boss2@x.org {far} zanzibar2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in P.find_personal_data(df).collect()}
+    assert len(found) == len(rows)
+    for i, t in rows:
+        assert [t[x.start : x.end].lower() for x in found[i].terms] == re.findall("zanzibar[0-9]", t.lower()), i
+    clean = [r.text for r in P.sanitise(df).collect()]
+    assert len(clean) == len(rows) and not any("zanzibar" in t.lower() or "@" in t for t in clean)
+
+
 def test_query_digests(spark, tmp_path):
     rows = [(1, "mail a@b.co"), (2, None), (1, "mail a@b.co"), (None, "9 9")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
