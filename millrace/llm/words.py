@@ -44,6 +44,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _pow[base][:n]
 
 
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """Powers 0 to n - 1 of the hashes' base, or of its inverse."""
+    return _powers(_INVERSE if inverse else _BASE, n)
+
+
 def separators(extra: str = "") -> np.ndarray:
     """Which bytes part words: space, tab to carriage return, and the ASCII characters of `extra`."""
     out = np.zeros(256, bool)
