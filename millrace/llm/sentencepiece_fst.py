@@ -1,31 +1,34 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a model file and composed with each input:
-
-* the normaliser: adds the leading space mark and maps every space to the mark (the identity normaliser; other
-  normaliser tables are refused);
-* the pieces: a trie of all pieces, one arc for each piece that matches at a position, and byte arcs for characters
-  that no piece spells;
-* the joins: a machine whose state is the last piece. A join of two pieces weighs nothing when the model's merges,
-  run on the two alone, give back these two, and one violation otherwise.
-
-Path weights are (violations, negative score), added along a path and compared in order (a tropical semiring). A
-path without violations is the model's own segmentation: merges act locally, so pieces that hold up in every
-neighbouring pair hold up together. The search therefore takes arcs without violation first, depth first, marks
-states from which no such path leads to the end, and stops at the first path; only where none exists does it relax
-all arcs by weight. Merges never cross a character that no piece spells nor enter a run of space marks from the left,
-so a text is cut there and each part is composed once and kept in a bounded cache.
+Machines are compiled from a model file and composed with each input:
+
+* the normaliser: one state with an arc for every character that is rewritten (the space becomes the mark), entered by
+  an arc that writes the leading mark; other characters pass (models with further tables are refused);
+* the pieces: a trie of all pieces that the model's merges can make, one arc of the composition for each piece that
+  matches at a position, weighing its negative score;
+* byte fallback: an arc that writes the UTF-8 bytes of a character that no piece spells;
+* the joins: a machine whose state is the last piece. Going on with a piece weighs nothing where merges of the two
+  pieces' parts never cross from one into the other, and one violation otherwise. The machine is not written out: a
+  join is told from the ranks along the right edge of the one piece's merges and the left edge of the other's.
+
+Path weights are (violations, negative score), added along a path, the least in order wins (a tropical semiring). The
+arcs of the composition are relaxed in topological order, those that end at a position after all that end before it. A
+path without violations is the model's own segmentation, and every prefix of it is that of the prefix, which has one
+only, so a position keeps its best path alone. All parts of a batch that are new are composed and relaxed together.
+
+Merges never enter a run of marks from the left nor cross a line end, so a text is cut there; parts and their ids are
+kept in a bounded cache.
 
 Null texts are empty, empty texts have no pieces. Texts are processed whole, however long. Decoding joins the pieces'
 bytes, turns marks into spaces and drops the one that encoding added; the mark itself (U+2581) in a text comes back as
-a space. Other columns are carried along untouched.
+a space. Added columns replace the input's of the same name; others are carried along untouched.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from struct import pack
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +40,10 @@ from .common import table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Parts longer than this aren't cached; a full cache is kept for one more generation, as parts in use move on. Joins of
-#: two pieces are kept up to their own bound. Together some 80 MB a worker.
-CACHED_CHARS, CACHE_ENTRIES, JOIN_ENTRIES = 48, 120_000, 250_000
+#: Parts longer than this aren't cached; a full cache is kept for one more generation, as parts in use move on: some 60
+#: MB a worker. Characters that are composed at once.
+CACHED_CHARS, CACHE_ENTRIES, AT_ONCE = 48, 200_000, 1 << 17
+_NEVER = np.int32(1 << 30)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -72,25 +76,71 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             at += n
 
 
+class Lookup:
+    """Whole numbers of 64 bits to values, as open addressing in arrays, asked for many at once; -1 where unknown."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, int(len(keys) * 4 - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.full(1 << bits, -1, np.int32)
+        at, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] < 0
+            slots, first = np.unique(at[free], return_index=True)
+            taken = np.flatnonzero(free)[first]
+            self.keys[slots], self.values[slots] = keys[left[taken]], values[left[taken]]
+            keep = np.ones(len(left), bool)
+            keep[taken] = False
+            left, at = left[keep], (at[keep] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._home(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], np.int32(-1))
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            held = self.keys[at[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return out
+
+
+class Normaliser:
+    """The machine that texts pass first: what it writes on entry, and its arcs that rewrite a character."""
+
+    def __init__(self, entry: str, arcs: dict[str, str]) -> None:
+        self.entry, self.arcs = entry, arcs
+
+    def compose(self, text: str) -> str:
+        for read, write in self.arcs.items():  # one state: every character takes its arc, wherever it stands
+            text = text.replace(read, write)
+        return self.entry + text
+
+
 class Transducer:
     """The compiled machines of one model."""
 
     def __init__(self, model: bytes) -> None:
-        self.ids: dict[str, int] = {}
-        self.score: dict[str, float] = {}
-        self.byte_ids: dict[int, int] = {}
+        ids: dict[str, int] = {}
+        score: dict[str, float] = {}
+        self.byte_ids = np.full(256, -1, np.int32)
         self.surface: list[bytes] = []
-        self.unk = 0
         dummy, extra, charsmap = True, True, b""
         n = 0
         for number, value in _fields(model):
             if number == 1:
-                piece, score, kind = "", 0.0, 1
+                piece, value_of, kind = "", 0.0, 1
                 for k, v in _fields(value):
                     if k == 1:
                         piece = v.decode()
                     elif k == 2:
-                        score = float(np.frombuffer(v, "<f4")[0])
+                        value_of = float(np.frombuffer(v, "<f4")[0])
                     elif k == 3:
                         kind = v
                 if kind == 6:
@@ -98,12 +148,10 @@ class Transducer:
                     self.byte_ids[code] = n
                     self.surface.append(bytes([code]))
                 elif kind in (1, 4):
-                    self.ids[piece] = n
-                    self.score[piece] = score
+                    ids[piece] = n
+                    score[piece] = value_of
                     self.surface.append(piece.replace(MARK, " ").encode())
                 else:
-                    if kind == 2:
-                        self.unk = n
                     self.surface.append(b"")
                 n += 1
             elif number == 3:
@@ -114,26 +162,75 @@ class Transducer:
                         dummy = bool(v)
                     elif k == 4:
                         extra = bool(v)
-        if charsmap or extra or not dummy or len(self.byte_ids) != 256:
+        if charsmap or extra or not dummy or (self.byte_ids < 0).any():
             raise ValueError("only models with the identity normaliser, a leading space mark and byte fallback")
-        inner = [p for p in self.ids if MARK in p.lstrip(MARK)]
-        if inner:
-            raise ValueError(f"pieces with a space mark after other characters: {inner[:3]}")
-        self.alphabet = {c for p in self.ids for c in p}
-        #: Length of the longest piece that begins with these two characters, and neighbours that some piece holds.
-        self.longest: dict[str, int] = {}
-        self.inside: set[str] = set()
-        for p in self.ids:
-            self.longest[p[:2]] = max(self.longest.get(p[:2], 1), len(p))
-            self.inside.update(p[i : i + 2] for i in range(len(p) - 1))
-        self.joins: dict[int, bool] = {}
+        wrong = [p for p in ids if MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1)]
+        if wrong:
+            raise ValueError(f"pieces with a mark or line end among other characters: {wrong[:3]}")
+        self.ids, self.score, self.size = ids, score, n
+        self.normaliser = Normaliser(MARK, {" ": MARK})
+        alone = {c for p in ids for c in p} - set(ids)
+        if alone:
+            raise ValueError(f"characters of pieces that are no piece: {sorted(alone)[:5]}")
+        self._compile()
+        self.relaxed = 0
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
-    def merged(self, text: str) -> list[str]:
-        """The model's merges run on a short text: the best-scoring neighbours first, the leftmost among equals."""
-        parts = list(text)
+    def _compile(self) -> None:
+        ids, n = self.ids, self.size
+        self.cost = np.zeros(n + 1)
+        self.rank = np.full(n + 1, -1, np.int32)  # when a merge makes the piece; single characters are there from the start
+        self.left, self.right = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32)
+        #: Pieces that share a score, or with a part that does or is made later than they are: ranks don't order their merges.
+        self.odd = np.zeros(n + 1, bool)
+        order = {p: r for r, p in enumerate(sorted(ids, key=lambda p: -self.score[p]))}
+        held = Counter(self.score.values())
+        made = []
+        pair_keys, pair_values = [], []
+        for p, i in ids.items():
+            self.cost[i] = -self.score[p]
+            if len(p) > 1:
+                self.rank[i] = order[p]
+                for k in range(1, len(p)):
+                    a, b = ids.get(p[:k]), ids.get(p[k:])
+                    if a is not None and b is not None:
+                        pair_keys.append(a << 32 | b)
+                        pair_values.append(i)
+                parts, last = self.merged(p)
+                if len(parts) > 1:
+                    continue  # merges never make this piece
+                self.left[i], self.right[i] = ids[last[0]], ids[last[1]]
+            made.append(p)
+        self.pairs = Lookup(np.array(pair_keys, np.int64), np.array(pair_values, np.int32))
+        for p in sorted(made, key=len):
+            i = ids[p]
+            if self.left[i] >= 0:
+                sides = [self.left[i], self.right[i]]
+                self.odd[i] = held[self.score[p]] > 1 or any(self.rank[s] > self.rank[i] or self.odd[s] for s in sides)
+        self.text_of = {i: p for p, i in ids.items()}
+        #: Characters by number, 0 where no piece spells one; states of the trie, 0 its root.
+        chars = sorted({c for p in made for c in p})
+        self.codes = np.zeros(0x110000, np.int32)
+        self.codes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.width = len(chars) + 1
+        number = {c: k + 1 for k, c in enumerate(chars)}
+        trie: dict[int, int] = {}
+        final = {}
+        for p in made:
+            node = 0
+            for c in p:
+                node = trie.setdefault(node * self.width + number[c], len(trie) + 1)
+            final[node] = ids[p]
+        self.trie = Lookup(np.fromiter(trie.keys(), np.int64), np.fromiter(trie.values(), np.int32))
+        self.final = np.full(len(trie) + 1, -1, np.int32)
+        self.final[list(final)] = list(final.values())
+
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The model's merges run on a short text, and the last two parts merged: the best-scoring neighbours first, the
+        leftmost among equals. Compiling needs the parts of every piece."""
+        parts, last = list(text), None
         while True:
             best, where = None, -1
             for i in range(len(parts) - 1):
@@ -141,104 +238,150 @@ class Transducer:
                 if s is not None and (best is None or s > best):
                     best, where = s, i
             if where < 0:
-                return parts
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
-
-    def joins_well(self, left: str, right: str) -> bool:
-        key = self.ids[left] << 32 | self.ids[right]
-        known = self.joins.get(key)
-        if known is None:
-            if len(self.joins) >= JOIN_ENTRIES:
-                self.joins.clear()
-            known = self.joins[key] = self.merged(left + right) == [left, right]
-        return known
-
-    def _span(self, text: str, at: int) -> int:
-        return min(self.longest.get(text[at : at + 2], 1), len(text) - at)
-
-    def path(self, text: str) -> list[int]:
-        """Ids of the shortest path through the composition with a text over the pieces' alphabet."""
-        find, known, end = self.ids.get, self.joins.get, len(text)
-        dead: set[tuple[int, int]] = set()
-        ats, lasts, spans = [0], [-1], [self._span(text, 0)]
-        while ats:
-            at, last, n = ats[-1], lasts[-1], spans[-1]
-            while n:
-                piece = text[at : at + n]
-                to, n = at + n, n - 1
-                number = find(piece)
-                if number is None or (dead and (to, number) in dead):
-                    continue
-                if last >= 0:
-                    fine = known(last << 32 | number)
-                    if fine is None:
-                        fine = self.joins_well(text[ats[-2] : at], piece)
-                    if not fine:
-                        continue
-                if to == end:
-                    return [*lasts[1:], number]
-                spans[-1] = n
-                ats.append(to)
-                lasts.append(number)
-                spans.append(self._span(text, to))
-                break
-            else:
-                dead.add((at, last))
-                ats.pop()
-                lasts.pop()
-                spans.pop()
-        return [self.ids[p] for p in self._relaxed(text)]
-
-    def _relaxed(self, text: str) -> list[str]:
-        best: list[dict[str, tuple]] = [{} for _ in range(len(text) + 1)]
-        best[0][""] = ((0, 0.0), None)
-        for at in range(len(text)):
-            spans = range(1, self._span(text, at) + 1) if best[at] else ()
-            arcs = [text[at : at + n] for n in spans if text[at : at + n] in self.ids]
-            for last, (weight, _) in best[at].items():
-                for piece in arcs:
-                    bad = bool(last) and not self.joins_well(last, piece)
-                    new = (weight[0] + bad, weight[1] - self.score[piece])
-                    old = best[at + len(piece)].get(piece)
-                    if old is None or new < old[0]:
-                        best[at + len(piece)][piece] = (new, last)
-        at, piece = len(text), min(best[-1], key=lambda p: best[-1][p][0])
-        out = []
-        while at:
-            out.append(piece)
-            at, piece = at - len(piece), best[at][piece][1]
-        return out[::-1]
-
-    def part(self, text: str) -> bytes:
-        """Packed int32 ids of one part of a normalised text. Between two characters that no piece holds side by side
-        it falls into parts of its own."""
-        packed = self.older.get(text)
-        if packed is None:
-            inside, n = self.inside, len(text)
-            cuts = [i for i in range(1, n) if text[i - 1 : i + 1] not in inside]
-            if cuts:
-                ends = [0, *cuts, n]
-                parts = [text[a:b] for a, b in zip(ends, ends[1:])]
-                packed = b"".join([hit if (hit := self.cache.get(p)) is not None else self.part(p) for p in parts])
-            elif n == 1 and text not in self.alphabet:
-                packed = pack(f"<{len(codes := text.encode('utf-8', 'replace'))}i", *[self.byte_ids[b] for b in codes])
-            else:
-                packed = pack(f"<{len(ids := self.path(text))}i", *ids)
-        if len(text) <= CACHED_CHARS:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.older, self.cache = self.cache, {"": b""}
-            self.cache[text] = packed
-        return packed
+                return parts, last
+            last = parts[where], parts[where + 1]
+            parts[where : where + 2] = [last[0] + last[1]]
+
+    def joins_well(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merges leave neighbours a and b (piece ids) as they are. Parts at the inner edges are undone, the one
+        made last first; a merge across happens if it comes before those that use its two parts up, of equals the left."""
+        ok = np.ones(len(a), bool)
+        for i in np.flatnonzero(self.odd[a] | self.odd[b]):
+            left, right = self.text_of[int(a[i])], self.text_of[int(b[i])]
+            ok[i] = self.merged(left + right)[0] == [left, right]
+        live = np.flatnonzero(~(self.odd[a] | self.odd[b]))
+        a, b = a[live], b[live]
+        end_a, end_b = np.full(len(live), _NEVER), np.full(len(live), _NEVER)
+        while len(live):
+            whole = self.pairs.get(a.astype(np.int64) << 32 | b)
+            when = np.where(whole >= 0, self.rank[whole], _NEVER)
+            crosses = (when < end_a) & (when <= end_b) & (whole >= 0)
+            ok[live[crosses]] = False
+            made_a, made_b = self.rank[a], self.rank[b]
+            go = ~crosses & ((made_a >= 0) | (made_b >= 0))
+            undo = (made_a > made_b)[go]
+            live, a, b, end_a, end_b, made_a, made_b = (v[go] for v in (live, a, b, end_a, end_b, made_a, made_b))
+            end_a, end_b = np.where(undo, made_a, end_a), np.where(undo, end_b, made_b)
+            a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
+        return ok
+
+    def arcs(self, codes: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, piece) of the composition of characters with pieces and byte fallback; stop: the end of each
+        character's part. A byte arc has the piece `size`."""
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        bare = np.flatnonzero(codes == 0)
+        out = [(bare, bare + 1, np.full(len(bare), self.size, np.int32))]
+        depth = 0
+        while len(at):
+            node = self.trie.get(node * self.width + codes[at + depth])
+            depth += 1
+            alive = node >= 0
+            at, node = at[alive], node[alive].astype(np.int64)
+            piece = self.final[node]
+            ends = piece >= 0
+            out.append((at[ends], at[ends] + depth, piece[ends]))
+            more = at + depth < stop[at]
+            at, node = at[more], node[more]
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def shortest(self, parts: list[str]) -> list[bytes]:
+        """Packed int32 ids of the shortest paths through the compositions with non-empty parts."""
+        points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        end = np.cumsum(size)
+        begin = end - size
+        part = np.repeat(np.arange(len(parts)), size)
+        begins, ends, piece = self.arcs(self.codes[points], end[part])
+        self.relaxed += len(piece)
+        # A part's position p is node p + its number, so parts have nodes of their own.
+        source, target = begins + part[begins], ends + part[begins]
+        place = ends - begin[part[begins]]
+        order = np.lexsort((target, place))
+        source, target, piece, place = source[order], target[order], piece[order], place[order]
+        nodes = len(points) + len(parts)
+        bad, cost = np.zeros(nodes, np.int32), np.zeros(nodes)
+        last, back = np.full(nodes, self.size, np.int32), np.zeros(nodes, np.int64)
+        bounds = np.searchsorted(place, np.arange(1, int(size.max()) + 2))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            s, t, p = source[lo:hi], target[lo:hi], piece[lo:hi]
+            before = last[s]
+            meets = np.flatnonzero((before < self.size) & (p < self.size))
+            new_bad = bad[s]
+            new_bad[meets] += ~self.joins_well(before[meets], p[meets])
+            new_cost = cost[s] + self.cost[p]
+            first = np.ones(len(t), bool)
+            first[1:] = t[1:] != t[:-1]
+            heads, node = np.flatnonzero(first), np.cumsum(first) - 1
+            new_cost[new_bad > np.minimum.reduceat(new_bad, heads)[node]] = np.inf
+            best = np.flatnonzero(new_cost == np.minimum.reduceat(new_cost, heads)[node])
+            best = best[np.concatenate([[True], node[best[1:]] != node[best[:-1]]])]
+            t = t[best]
+            bad[t], cost[t], last[t], back[t] = new_bad[best], new_cost[best], p[best], s[best]
+        roots = begin + np.arange(len(parts))
+        at, which = end + np.arange(len(parts)), np.arange(len(parts))
+        steps = []
+        while len(at):
+            steps.append((which, at, last[at]))
+            at = back[at]
+            on = at > roots[which]
+            at, which = at[on], which[on]
+        which, node, token = (np.concatenate(c) for c in zip(*steps))
+        order = np.lexsort((node, which))
+        which, node, token = which[order], node[order], token[order]
+        cut = np.searchsorted(which, np.arange(len(parts) + 1)) * 4
+        data = token.astype("<i4").tobytes()
+        out = [data[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        for i in np.unique(which[token == self.size]).tolist():
+            own = slice(int(cut[i]) // 4, int(cut[i + 1]) // 4)
+            written = []
+            for n, t in zip(node[own].tolist(), token[own].tolist()):
+                char = parts[i][n - i - 1 - int(begin[i])]
+                written += [t] if t < self.size else self.byte_ids[list(char.encode("utf-8", "replace"))].tolist()
+            out[i] = np.array(written, "<i4").tobytes()
+        return out
+
+    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
+        """Ids of parts that the caches lack, composed some at a time: of like length, so they relax in step."""
+        todo = sorted(new, key=len)
+        out: dict[str, bytes] = {}
+        lo = 0
+        while lo < len(todo):
+            hi = lo + max(1, AT_ONCE // len(todo[lo]))
+            while hi > lo + 1 and sum(map(len, todo[lo:hi])) > 2 * AT_ONCE:
+                hi = (lo + hi) // 2
+            out.update(zip(todo[lo:hi], self.shortest(todo[lo:hi])))
+            lo = hi
+        return out
+
+    def parts(self, text: str) -> list[str]:
+        if not text:
+            return []
+        normal = self.normaliser.compose(text)
+        if MARK * 2 in normal or MARK in text:
+            return self.cut.findall(normal)
+        return normal.replace(MARK, "\x01" + MARK)[1:].replace("\n", "\x01\n\x01").split("\x01") if "\x01" not in text else self.cut.findall(normal)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.parts(t) for t in texts]
+        seen = set().union(*cut)
+        new = seen.difference(self.cache)
+        again = new.intersection(self.older)
+        found = {p: self.older[p] for p in again}
+        found.update(self._learn(new - again))
+        long = {p: v for p, v in found.items() if len(p) > CACHED_CHARS}
+        if len(self.cache) + len(found) > CACHE_ENTRIES:
+            # Whatever this batch needs goes along to the new generation.
+            self.older, self.cache = self.cache, {p: self.cache[p] for p in seen if p in self.cache}
+            self.cache[""] = b""
+        self.cache.update(found)
+        get = self.cache.__getitem__
+        out = [np.frombuffer(b"".join(map(get, c)), "<i4") for c in cut]
+        for p in long:
+            del self.cache[p]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<i4")
-        if "  " in text or text[0] == " " or MARK in text or "\x01" in text:
-            parts = self.cut.findall(MARK + text.replace(" ", MARK))
-        else:
-            parts = (MARK + text).replace(" ", "\x01" + MARK).replace("\n", "\x01\n\x01").split("\x01")
-        part, cache = self.part, self
-        return np.frombuffer(b"".join([hit if (hit := cache.cache.get(p)) is not None else part(p) for p in parts]), "<i4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.surface.__getitem__, ids.tolist()))
@@ -277,7 +420,7 @@ def encode_decode(df: DataFrame, model_path: str = MODEL, text_col: str = "text"
             for lo in range(0, whole.num_rows, 1024):
                 batch = whole.slice(lo, 1024)
                 texts = [t or "" for t in batch.column(text_col).to_pylist()]
-                ids = [machine.encode(t) for t in texts]
+                ids = machine.encode_all(texts)
                 back = [machine.decode(x) for x in ids]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
