@@ -75,6 +75,14 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(where, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until df has no column of it in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def text_of(col: str | Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
