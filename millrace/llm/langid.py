@@ -13,7 +13,6 @@ are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import table, tidy
+from .common import table, tidy, unused
 
 WINDOW, WIDTHS, FILTERS, DIMS = 256, (2, 3, 4), 8, 8
 SAMPLE_DOCS, WINDOWS_EACH, EPOCHS, LEAST_STEPS, SEED = 400, 6, 6, 200, 17
 FOLDS = 5
-_LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 
 
 class ByteCNN:
@@ -133,7 +132,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for lang, n in counts.items():
         share = F.when(F.col("l") == lang, int(min(1.0, 1.3 * SAMPLE_DOCS / n) * (1 << 30))).otherwise(share)
     drawn: dict[str, list[tuple]] = {}
-    for r in known.select("l", "i", draw.alias("h")).where(F.col("h") < share).collect():
+    for r in known.select("l", "i", draw.alias("h")).where(F.col("h") < share).distinct().collect():
         drawn.setdefault(r["l"], []).append((r["h"], r["i"]))
     ids = [i for rows in drawn.values() for _, i in sorted(set(rows))[:SAMPLE_DOCS]]
     data = F.encode("t", "utf-8")
@@ -143,8 +142,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             data, (k * F.greatest(F.octet_length("t") - WINDOW, F.lit(0)) / (WINDOWS_EACH - 1)).cast("int") + 1, F.lit(WINDOW)
         ),
     )
-    chosen = known.where(F.col("i").isin(ids) & F.col("t").rlike(r"\p{L}"))
-    got = sorted((r["l"], r["i"], w) for r in chosen.select("l", "i", F.array_distinct(spread).alias("w")).collect() for w in r["w"])
+    chosen = known.where(F.col("i").isin(ids) & F.col("t").rlike(LETTER))
+    # An id that repeats gives the windows of one of its texts, so what comes here is bounded by the ids.
+    held = chosen.select("l", "i", F.array_distinct(spread).alias("w")).groupBy("l", "i").agg(F.min("w").alias("w"))
+    got = sorted((r["l"], r["i"], w) for r in held.collect() for w in r["w"])
     labels = sorted({g[0] for g in got})
     number = {c: k for k, c in enumerate(labels)}
     x = np.zeros((len(got), WINDOW), np.uint8)
@@ -154,25 +155,21 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return net.fit(x, np.array([number[g[0]] for g in got])) if len(labels) else net
 
 
-def predict(df: DataFrame, net: ByteCNN, text_col: str = "text") -> DataFrame:
-    """df plus lang_pred and score."""
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    schema = df.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+def predict(df: DataFrame, net: ByteCNN, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """df plus the predicted language and its score under the given names; columns of these names are replaced."""
+    kept = [c for c in df.columns if c.lower() not in [n.lower() for n in names]]
+    schema = df.select(*kept).schema.add(names[0], "string").add(names[1], "double")
+    letters = unused(df, "_millrace_letters")
     ready: dict[str, list[np.ndarray]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "tables" not in ready:
             ready["tables"] = net.pair_tables()
-        alpha = np.zeros(256, bool)
-        alpha[[*range(65, 91), *range(97, 123)]] = True
         for batch in batches:
             texts, langs, scores = batch.column(text_col), [], []
+            lettered = batch.column(letters).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in W.buffers(texts):
-                sums = np.concatenate([[0], np.cumsum(alpha[data])])
-                lettered = sums[offsets[1:]] > sums[offsets[:-1]]
-                for i in np.flatnonzero(~lettered & (np.diff(offsets) > 0)):
-                    lettered[i] = bool(_LETTER.search(bytes(data[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace")))
-                rows = np.flatnonzero(lettered) if net.labels else np.empty(0, np.int64)
+                rows = np.flatnonzero(lettered[lo:hi]) if net.labels else np.empty(0, np.int64)
                 count = -(-np.diff(offsets)[rows] // WINDOW)
                 starts = np.concatenate([[0], np.cumsum(count)])
                 x = np.zeros((int(starts[-1]), WINDOW), np.uint8)
@@ -189,9 +186,11 @@ def predict(df: DataFrame, net: ByteCNN, text_col: str = "text") -> DataFrame:
                 langs += lang
                 scores.append(score)
             new = [pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, *names])
 
-    return df.select(*kept).mapInArrow(tidy(run), schema)
+    # One expression tells letters in training and prediction.
+    told = df.select(*kept, F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias(letters))
+    return told.mapInArrow(tidy(run), schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
