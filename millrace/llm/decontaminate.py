@@ -11,13 +11,12 @@ is an estimate: a window whose fingerprint lies beyond the radius is no candidat
 
 Texts are lower-cased, words end at white space and ASCII punctuation. A text shorter than an item is one window. Items with
 fewer words than a shingle are one shingle; items and texts without words (or null) match nothing. Items are handled in
-blocks of BLOCK_ITEMS, each sent whole to the executors. Repeated rows and items give repeated results, null ids are
+blocks of BLOCK_ITEMS, each sent whole to the executors: a scan of all texts for each block. Repeated rows and items give repeated results, null ids are
 kept; columns besides id and text are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import table, tidy
+from .common import table, tidy, unused
 
 WORDS, P, Q = 5, 80, 100
 RADIUS, BLOCKS = 11, 4
-#: Items and UTF-8 bytes of items that are sent to the executors at once.
-BLOCK_ITEMS, BLOCK_BYTES = 4096, 16 << 20
+#: Items and UTF-8 bytes of items that are sent to the executors at once, for one scan; words that are handled at once.
+BLOCK_ITEMS, BLOCK_BYTES, BLOCK_WORDS = 16384, 64 << 20, 1 << 16
 _SEP = W.separators("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _SHIFT = np.uint64(42)
 
@@ -60,7 +59,8 @@ class Benchmark:
         self.n, self.p, self.q, self.radius = n, p, q, radius
         self.ids: list[int] = []
         self.lengths: list[int] = []
-        self.counts: list[Counter] = []
+        #: Each item's distinct shingles, sorted, with their counts.
+        self.counts: list[tuple[np.ndarray, np.ndarray]] = []
         prints = []
         at = 0
         for _, _, words in W.chunks(W.strings(texts), _SEP):
@@ -70,7 +70,7 @@ class Benchmark:
                 if len(own):
                     self.ids.append(ids[at])
                     self.lengths.append(len(own))
-                    self.counts.append(Counter(shingles[ptr[i] : ptr[i + 1]].tolist()))
+                    self.counts.append(np.unique(shingles[ptr[i] : ptr[i + 1]], return_counts=True))
                     prints.append(_fingerprints(_bit_sums(own)[-1:])[0])
                 at += 1
         self.prints = np.array(prints, np.uint64)
@@ -83,29 +83,41 @@ class Benchmark:
             order = np.argsort(near, kind="stable")
             starts = np.searchsorted(near[order], np.arange(65537))
             self.tables.append((starts.astype(np.int64), items[order]))
-        #: shingle -> lengths of the items that have it, kept as sorted keys with a first table of their top bits.
-        has: dict[int, set[int]] = {}
-        for counts, m in zip(self.counts, self.lengths):
-            for s in counts:
-                has.setdefault(s, set()).add(m)
-        self.keys = np.array(sorted(has), np.uint64)
-        self.key_lengths = [sorted(has[int(k)]) for k in self.keys]
+        #: shingle -> lengths of the items that have it, in arrays, with a first table of the shingles' top bits.
+        every = np.concatenate([k for k, _ in self.counts]) if self.counts else np.empty(0, np.uint64)
+        lengths = np.repeat(self.lengths, [len(k) for k, _ in self.counts]).astype(np.int64)
+        order = np.lexsort((lengths, every))
+        every, lengths = every[order], lengths[order]
+        new = np.ones(len(every), bool)
+        new[1:] = (every[1:] != every[:-1]) | (lengths[1:] != lengths[:-1])
+        every, self.key_lengths = every[new], lengths[new]
+        self.keys, first = np.unique(every, return_index=True)
+        self.key_ptr = np.append(first, len(every))
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.keys >> _SHIFT] = True
         self.short = sorted({m for m in self.lengths if m < n})
 
-    def _hits(self, words: W.Words) -> list[tuple[int, int, int]]:
-        """(text, first word, item length) of the shingles shared with items, a shingle of m < n words as such."""
-        out = []
+    def _hits(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, item length) of the shingles shared with items, a shingle of m < n words as such. A long text is
+        read in blocks."""
+        firsts, sizes = [], []
+        total = len(words.hash)
         for m in [self.n, *self.short]:
-            shingles, where, ptr = words.shingles(m)
-            at = np.flatnonzero(self.maybe[shingles >> _SHIFT]) if len(self.keys) else np.empty(0, np.int64)
-            k = np.searchsorted(self.keys, shingles[at])
-            real = (k < len(self.keys)) & (self.keys[np.minimum(k, len(self.keys) - 1)] == shingles[at]) if len(at) else at
-            for i, key in zip(at[real] if len(at) else at, k[real] if len(at) else at):
-                text = int(np.searchsorted(ptr, i, "right")) - 1
-                out += [(text, int(where[i]), length) for length in self.key_lengths[key] if (length < self.n) == (m < self.n)]
-        return out
+            step = BLOCK_WORDS if len(words.ptr) == 2 and total > BLOCK_WORDS + m else max(1, total)
+            for lo in range(0, total - m + 1 if step < total else 1, step):
+                part = words.part(lo, min(total, lo + step + m - 1)) if step < total else words
+                shingles, where, _ = part.shingles(m)
+                at = np.flatnonzero(self.maybe[shingles >> _SHIFT])
+                k = np.searchsorted(self.keys, shingles[at])
+                real = self.keys[np.minimum(k, len(self.keys) - 1)] == shingles[at] if len(self.keys) else np.zeros(len(at), bool)
+                at, k = at[real], k[real]
+                held = self.key_ptr[k + 1] - self.key_ptr[k]
+                inner = np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held)
+                length = self.key_lengths[np.repeat(self.key_ptr[k], held) + inner]
+                fits = (length < self.n) == (m < self.n)
+                firsts.append(np.repeat(where[at] + lo, held)[fits])
+                sizes.append(length[fits])
+        return np.concatenate(firsts), np.concatenate(sizes)
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs within the radius, each once."""
@@ -121,43 +133,63 @@ class Benchmark:
         both = np.unique(np.concatenate(pairs))
         return both // len(self.prints), both % len(self.prints)
 
+    def similar(self, shingles: np.ndarray, item: int) -> float | None:
+        """Count-weighted Jaccard similarity of a window's shingles with an item, if it reaches p / q."""
+        mine, held = np.unique(shingles, return_counts=True)
+        theirs, counts = self.counts[item]
+        at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+        common = int(np.minimum(held, counts[at])[theirs[at] == mine].sum())
+        total = int(held.sum() + counts.sum()) - common
+        return common / total if self.q * common >= self.p * total else None
+
     def matches(self, words: W.Words) -> dict[int, dict[int, tuple[float, int, int]]]:
-        """text -> item -> (similarity, first word, word after the last) of its best window, the first among equals."""
-        starts: dict[int, dict[int, set[int]]] = {}
-        for text, first, m in self._hits(words):
-            lo, hi = int(words.ptr[text]), int(words.ptr[text + 1])
-            begin = range(max(lo, first + min(self.n, m) - m), min(first, hi - m) + 1) if hi - lo > m else (lo,)
-            starts.setdefault(text, {}).setdefault(m, set()).update(begin)
+        """text -> item -> (similarity, first word, word after the last) of its best window, the first among equals.
+
+        Windows are fingerprinted around hits only, in blocks of at most BLOCK_WORDS starts."""
+        firsts, sizes = self._hits(words)
         out: dict[int, dict[int, tuple[float, int, int]]] = {}
-        for text, by_length in starts.items():
-            lo, hi = int(words.ptr[text]), int(words.ptr[text + 1])
-            sums = _bit_sums(words.hash[lo:hi])
-            shingles = None
-            for m, begin in by_length.items():
-                a = np.array(sorted(begin)) - lo
-                b = np.minimum(a + m, hi - lo)
-                window, item = self.candidates(_fingerprints(sums[b] - sums[a]))
-                if len(window) and shingles is None:
-                    own = W.Words.__new__(W.Words)
-                    own.hash, own.ptr = words.hash[lo:hi], np.array([0, hi - lo])
-                    shingles = {k: own.shingles(k)[0] for k in {self.n, *(s for s in self.short)}}
-                for w, i in zip(window.tolist(), item.tolist()):
-                    if self.lengths[i] != m:
-                        continue
-                    k = min(self.n, m)
-                    count = max(1, int(b[w] - a[w]) - k + 1)
-                    mine = Counter(shingles[k][a[w] : a[w] + count].tolist())
-                    theirs = self.counts[i]
-                    common = sum(min(c, theirs[s]) for s, c in mine.items() if s in theirs)
-                    total = mine.total() + theirs.total() - common
-                    if self.q * common >= self.p * total:
-                        best = out.setdefault(text, {})
-                        new = (common / total, int(a[w]), int(b[w]))
-                        old = best.get(i)
-                        if old is None or (new[0], -new[1]) > (old[0], -old[1]):
-                            best[i] = new
+        for m in np.unique(sizes).tolist():
+            first = firsts[sizes == m]
+            text = np.searchsorted(words.ptr, first, "right") - 1
+            lo, hi = words.ptr[text], words.ptr[text + 1]
+            begin = np.where(hi - lo > m, np.maximum(lo, first + min(self.n, m) - m), lo)
+            end = np.where(hi - lo > m, np.minimum(first, hi - m), lo)
+            marks = np.zeros(len(words.hash) + 1, np.int32)
+            np.add.at(marks, begin, 1)
+            np.add.at(marks, end + 1, -1)
+            starts = np.flatnonzero(np.cumsum(marks) > 0)
+            del marks
+            text = np.searchsorted(words.ptr, starts, "right") - 1
+            fresh = np.ones(len(starts), bool)
+            fresh[1:] = (np.diff(starts) > m) | (np.diff(text) > 0)
+            bounds = np.append(np.flatnonzero(fresh), len(starts))
+            for a, b in zip(bounds, bounds[1:]):
+                for c in range(int(a), int(b), BLOCK_WORDS):
+                    self._judge(words, int(text[a]), starts[c : min(int(b), c + BLOCK_WORDS)], m, out)
         return out
 
+    def _judge(self, words: W.Words, text: int, starts: np.ndarray, m: int, out: dict) -> None:
+        lo, hi = int(starts[0]), min(int(starts[-1]) + m, int(words.ptr[text + 1]))
+        sums = _bit_sums(words.hash[lo:hi])
+        a = starts - lo
+        b = np.minimum(a + m, hi - lo)
+        window, item = self.candidates(_fingerprints(sums[b] - sums[a]))
+        k = min(self.n, m)
+        shingles = None
+        for w, i in zip(window.tolist(), item.tolist()):
+            if self.lengths[i] != m:
+                continue
+            if shingles is None:
+                shingles = words.part(lo, hi).shingles(k)[0]
+            similarity = self.similar(shingles[a[w] : a[w] + max(1, int(b[w] - a[w]) - k + 1)], i)
+            if similarity is not None:
+                base = lo - int(words.ptr[text])
+                new = (similarity, base + int(a[w]), base + int(b[w]))
+                best = out.setdefault(text, {})
+                old = best.get(i)
+                if old is None or (new[0], -new[1]) > (old[0], -old[1]):
+                    best[i] = new
+
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, **options) -> Iterator[Benchmark]:
     """The items in blocks of a bounded size, streamed to the driver one partition at a time."""
@@ -203,7 +235,7 @@ def find_contamination(
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", **options) -> DataFrame:
     """The rows of df whose text matches no item. Rows are filtered where they lie."""
-    lower = "_millrace_lower"
+    lower = unused(df, "_millrace_lower")
     for items in _blocks(benchmark, item_col, "text", **options):
 
         def run(batches: Iterator[pa.RecordBatch], items: Benchmark = items) -> Iterator[pa.RecordBatch]:

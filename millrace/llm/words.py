@@ -59,6 +59,22 @@ def separators(extra: str = "") -> np.ndarray:
 BLANKS = separators()
 
 
+def _hashed(data: np.ndarray, lo: int, hi: int, edges: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words in bytes lo to hi; texts end at edges."""
+    data, edges = data[lo:hi], edges[(edges > lo) & (edges < hi)] - lo
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(BYTES[data] * _powers(_BASE, n), out=sums[1:])
+    inside = ~sep[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[edges] = inside[edges]
+    last[edges - 1] = inside[edges - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return mix((sums[end] - sums[start]) * _powers(_INVERSE, n)[start]), start + lo, end + lo
+
+
 class Words:
     """Words of consecutive texts: hash, start and end byte in `data`; text i has words ptr[i] to ptr[i + 1]."""
 
@@ -66,19 +82,34 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = BLANKS) -> None:
         self.data, self.offsets, n = data, offsets, len(data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTES[data] * _powers(_BASE, n), out=sums[1:])
-        inside = ~sep[data]
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
         edges = offsets[(offsets > 0) & (offsets < n)]
-        first[edges] = inside[edges]
-        last[edges - 1] = inside[edges - 1]
-        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.hash = mix((sums[self.end] - sums[self.start]) * _powers(_INVERSE, n)[self.start])
+        found = []
+        lo = 0
+        while lo < n or not found:
+            hi = self._cut(data, lo, sep) if n - lo > 2 * CHUNK else n
+            found.append(_hashed(data, lo, hi, edges, sep))
+            lo = hi
+        self.hash, self.start, self.end = (np.concatenate(c) for c in zip(*found)) if len(found) > 1 else found[0]
         self.ptr = np.searchsorted(self.start, offsets)
 
+    @staticmethod
+    def _cut(data: np.ndarray, lo: int, sep: np.ndarray) -> int:
+        """The end of a block of about CHUNK bytes that ends between words: all of a long text at once takes 40 bytes a
+        byte."""
+        hi = lo + CHUNK
+        while hi < len(data):
+            blank = np.flatnonzero(sep[data[hi : hi + 4096]])
+            if len(blank):
+                return hi + int(blank[0])
+            hi += 4096
+        return len(data)
+
+    def part(self, lo: int, hi: int) -> Words:
+        """Words lo to hi, which are of one text, as a text of their own."""
+        out = Words.__new__(Words)
+        out.hash, out.ptr = self.hash[lo:hi], np.array([0, hi - lo])
+        return out
+
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, first words, ptr) of runs of n words; a text of fewer words, but some, is one run."""
         words, ptr = self.hash, self.ptr

@@ -85,3 +85,53 @@ def test_small_blocks_of_items(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert D.find_contamination(df, bench).count() == len(brute(docs, items))
+
+
+def test_long_text_is_read_in_blocks(spark, monkeypatch):
+    docs, items = corpus(5)
+    rng = random.Random(6)
+    vocab = [f"z{i}" for i in range(900)]
+    w = rng.choices(vocab, k=3000)
+    for i, (_, t) in enumerate(items):
+        at = 100 * i + rng.randrange(40)
+        w[at:at] = t.split()
+    docs = [(1, " ".join(w)), (2, " ".join(w[::-1])), (3, items[6][1] + " " + items[6][1])]
+    for size in (16, 100, 1 << 16):
+        monkeypatch.setattr(D, "BLOCK_WORDS", size)
+        b = D.Benchmark([i for i, _ in items], [t.lower() for _, t in items])
+        got = []
+        for lo, _, words in W.chunks(W.strings([t.lower() for _, t in docs]), D._SEP):
+            got += [(docs[lo + d][0], b.ids[i], round(s, 9), a) for d, found in b.matches(words).items() for i, (s, a, _) in found.items()]
+        assert sorted(got) == brute(docs, items)
+
+
+def test_memory_of_a_very_long_text():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    item = " ".join(f"q{v}" for v in rng.integers(0, 500, 30))
+    b = D.Benchmark([7], [item])
+    text = "some filler words here and there " * 350_000 + item + " tail" * 10
+    texts = W.strings([text])
+    tracemalloc.start()
+    (found,) = [b.matches(words) for _, _, words in W.chunks(texts, D._SEP)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0][0][0] == 1.0 and peak < 20 * len(text)
+
+
+def test_recall_near_the_threshold(spark):
+    """The fingerprints are an estimate: against the exact similarity of all windows."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(2000)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([40, 60, 90])))) for i in range(40)]
+    docs = []
+    for i in range(200):
+        x = rng.choice(items)[1].split()
+        for _ in range(rng.choice([1, 1, 2])):
+            x[rng.randrange(len(x))] = rng.choice(vocab)
+        docs.append((i, " ".join(rng.choices(vocab, k=30) + x + rng.choices(vocab, k=30))))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i) for d, i, *_ in brute(docs, items)}
+    got = {(r.doc_id, r.item_id) for r in D.find_contamination(df, bench).collect()}
+    assert got <= want and len(want) > 60 and len(got) >= 0.95 * len(want)
