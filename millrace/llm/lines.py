@@ -1,9 +1,10 @@
 """Line dedup by site-relative frequency.
 
 For each host, a line's frequency is the share of the host's pages that contain it; lines above `ratio` on at least
-`min_pages` pages are boilerplate of that host and go wherever they occur there. Lines are compared trimmed, by two
-64-bit hashes; blank lines stay and are never counted. Rows are pages: repeated rows count as often as they occur.
-A page without a host can't be judged and stays whole; a null text is empty. An empty table gives no rows.
+`min_pages` pages are boilerplate of that host and go wherever they occur there. The least number only asks that a line
+is on more than one page, so hosts of every size are judged by the ratio. Lines are compared trimmed, by 64-bit hashes;
+blank lines stay and are never counted. Rows are pages: repeated rows count as often as they occur. A page without a
+host can't be judged and stays whole; a null text is empty. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,20 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_of
+from .common import materialise, table, text_of, unused
 
-RATIO, MIN_PAGES = 0.1, 10
-
-
-def _key(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit("line")).alias("b"))
+RATIO, MIN_PAGES = 0.1, 2
 
 
 def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, gone array<struct<a, b>>) of pages (host, lines). A host's array is short: lines on more than `ratio` of its
-    pages number at most the mean lines of a page / ratio."""
+    """(host, gone array<long>) of pages (host, lines). A host's array is short: lines on more than `ratio` of its pages
+    number at most the mean lines of a page / ratio."""
     judged = pages.where(F.col("host").isNotNull())
-    keys = F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), lambda x: _key(F.trim(x))))
+    keys = F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x))))
     counts = judged.select("host", F.explode(keys).alias("k")).groupBy("host", "k").agg(F.count("*").alias("n"))
     totals = judged.groupBy("host").agg(F.count("*").alias("total"))
     common = counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") > ratio * F.col("total"))
@@ -35,17 +32,20 @@ def drop_boilerplate(
     pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES
 ) -> tuple[DataFrame, Column, Column]:
     """(pages with private columns added, their lines, their lines without the host's boilerplate). The boilerplate
-    table is written first, so the planner sees its true size and broadcasts it only under the session's threshold."""
-    held = pages.withColumns({"_millrace_host": host, "_millrace_lines": lines})
-    narrow = held.select(F.col("_millrace_host").alias("host"), F.col("_millrace_lines").alias("lines"))
-    found = materialise(boilerplate_lines(narrow, ratio, min_pages), "boilerplate")
-    found = found.select(F.col("host").alias("_millrace_host"), F.col("gone").alias("_millrace_gone"))
-    joined = held.join(found, "_millrace_host", "left")
-    every, gone = F.col("_millrace_lines"), F.col("_millrace_gone")
-    kept = F.when(gone.isNull(), every).otherwise(
-        F.filter(every, lambda x: ~F.array_contains(gone, _key(F.trim(x))) | (F.trim(x) == ""))
+    table is written first, so the planner sees its true size and broadcasts it only under the session's threshold.
+    Pages without a host go past the join, which would bring them together."""
+    h, every, gone, bad = (unused(pages, f"_millrace_{c}") for c in ("host", "lines", "gone", "bad"))
+    held = pages.withColumns({h: host, every: lines})
+    found = materialise(boilerplate_lines(held.select(F.col(h).alias("host"), F.col(every).alias("lines")), ratio, min_pages), "boilerplate")
+    judged = held.where(F.col(h).isNotNull()).join(found.select(F.col("host").alias(h), F.col("gone").alias(gone)), h, "left")
+    # The host's list meets a page's lines in a hash set; only what both hold is sought line by line.
+    keys = F.transform(every, lambda x: F.xxhash64(F.trim(x)))
+    judged = judged.withColumn(bad, F.array_intersect(keys, F.col(gone))).drop(gone)
+    judged = judged.unionByName(held.where(F.col(h).isNull()).withColumn(bad, F.lit(None).cast("array<bigint>")))
+    kept = F.when(F.coalesce(F.size(bad), F.lit(0)) <= 0, F.col(every)).otherwise(
+        F.filter(every, lambda x: ~F.array_contains(F.col(bad), F.xxhash64(F.trim(x))) | (F.trim(x) == ""))
     )
-    return joined, every, kept
+    return judged, F.col(every), kept
 
 
 def host_of(url: Column) -> Column:
@@ -66,6 +66,7 @@ def html_lines(html: Column) -> Column:
 def op5(spark, sf_dir: str) -> DataFrame:
     """Pages without the boilerplate lines of their hosts."""
     pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(text_of("html")).alias("lines"))
+    pages = materialise(pages, "page-lines")  # parsed once, counted and filtered from there
     out, every, kept = drop_boilerplate(pages, F.col("host"), F.col("lines"))
     out = out.select("page_id", "host", F.size(every).cast("long").alias("n_lines"), kept.alias("kept"))
     n_dropped = (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped")
@@ -95,7 +96,7 @@ WITH pages_ AS (
   SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
     {_LINES_SQL} AS lines FROM pages
 ), counts AS (
-  SELECT host, line, count(DISTINCT page_id) AS n FROM (SELECT host, page_id, unnest(lines) AS line FROM pages_)
+  SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM pages_)
   WHERE host IS NOT NULL GROUP BY host, line
 ), drops AS (
   SELECT c.host, list(c.line) AS gone FROM counts c
