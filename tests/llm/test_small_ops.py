@@ -1,4 +1,3 @@
-import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -101,6 +100,42 @@ def test_shards_of_little(spark):
     assert shards.shard_documents(df.limit(0), 4).count() == 0
 
 
-def test_shared_folder_is_the_sessions(spark):
-    assert shared_dir(spark) == shared_dir(spark)
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+def test_shards_against_plain_sorting(spark):
+    rows = [(i, f"t{i * 7919 % 400}" * (1 + i % 9)) for i in range(900)] + [(4, "same " * 30)] * 700 + [(None, None)] * 3
+    df = spark.createDataFrame([(i, t, 1, "p", "f") for i, t in rows], "doc_id long, text string, shard int, place string, first string")
+    got = shards.shard_documents(df, 8, keep=("shard", "place", "first")).collect()
+    assert {(r.kept_shard, r.kept_place, r.kept_first) for r in got} == {(1, "p", "f")}
+    # In key order, shards follow each other and slots count up from 0; repeated rows part where a shard is full.
+    ordered = sorted(got, key=lambda r: (r.hash, r.doc, r.row))
+    assert [(r.shard, r.slot) for r in ordered] == sorted((r.shard, r.slot) for r in got)
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(t or "") + 1) for i, t in rows)
+    per, mean = Counter(), sum(r.size for r in got) / 8
+    for r in got:
+        per[r.shard] += r.size
+    assert len(per) == 8 and all(abs(b - mean) <= 2 * shards.TOLERANCE * mean + max(r.size for r in got) for b in per.values())
+    # A boundary misses its target by the tolerance or one row at most.
+    below = 0
+    for k in range(7):
+        below += per[k]
+        assert abs(below - (k + 1) * mean) <= max(1, shards.TOLERANCE * mean) + max(r.size for r in got)
+
+
+def test_intermediates_lie_in_the_shared_folder_and_go(spark):
+    import glob
+
+    from millrace.llm.common import discard, materialise
+
+    folder = shared_dir(spark).removeprefix("file:")
+    held = materialise(spark.range(3), "held")
+    assert glob.glob(f"{folder}/millrace-*/held-*") and held.count() == 3
+    discard(held)
+    assert not glob.glob(f"{folder}/millrace-*/held-*")
+
+
+def test_lines_of_long_pages_and_clashing_names(spark):
+    long = "\n".join(["nav"] * 3 + [f"line {i}" for i in range(60_000)])
+    rows = [(1, "h", long), (2, "h", "nav\nonly"), (3, "small", "nav\na"), (4, "small", "b"), (5, None, "nav")]
+    df = spark.createDataFrame([(*r, 0, "g", 7) for r in rows], "doc_id long, source string, text string, host int, gone string, _millrace_host int")
+    got = {r.doc_id: r for r in lines.dedup_document_lines(df).collect()}
+    assert got[1].text == long[12:] and got[2].text == "only" and got[3].text == "nav\na" and got[5].text == "nav"
+    assert {(r.host, r.gone, r._millrace_host) for r in got.values()} == {(0, "g", 7)}
