@@ -40,8 +40,10 @@ def test_stages(spark):
     last = seen["sentencepiece"]
     with open(S.MODEL, "rb") as f:
         machine = S.Transducer(f.read())
-    assert set(last) == set(fourth)
-    assert all(machine.encode(fourth[d].text).tolist() == last[d].token_ids and last[d].round_trip for d in list(last)[:40])
+    assert set(last) == set(fourth) and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in last.values())
+    for d in list(last)[:40]:
+        merged = [machine.ids.get(p) for part in machine.parts(fourth[d].text) for p in machine.merged(part)[0]]
+        assert None in merged or merged == last[d].token_ids
 
 
 def test_run_and_empty_table(spark, tmp_path):
@@ -52,3 +54,16 @@ def test_run_and_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert D.drop_contaminated(docs, docs.limit(0).select(F.col("doc_id").alias("item_id"), "text")).count() == docs.count()
+
+
+def test_columns_of_any_name_pass(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    extra = ["score", "Lang_Pred", "_millrace_lower", "_millrace_lang", "gone", "host", "set_id", "component_id", "n_tokens"]
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in extra})
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, SF)
+        assert at.columns == docs.columns
+    rows = at.collect()
+    assert len(rows) > 20 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra)
+    assert corpus_pipeline.STAGES[-1][1](spark, at, SF).count() == len(rows)
