@@ -17,8 +17,8 @@ SOURCES = ["MAT.1.2", "abc", "GEN.01.7", "A.B.C", "", "LUK.2.3.4", "mat.1.2", "R
 NAMES = ["Asante_Twi_twi", "English_eng", "Plain", "Two_Words", "X_ENG", "_abc", "a_b_cde"]
 #: Inline texts: what the test tables lack.
 EDGES = [
-    "Jafet biribis da anɛ: Goma …", "YIIGA YƐLKƲDA", "ԑↄǝεϵο аеорсух", "“It’s”—a b", "da'an ba-yela 'kus' kus -", "a​b‌c‍d",
-    "ɛ̃-b", "é x-", "12 ab", "٣ab", "A", "", "--'", "ALL CAPS", "\x1fa\x0b\x85b", "tab\tnew\nline", "x_y{z}`~",
+    "Nine kites, gone… (by noon)", "ŊƆƐ ƏꞋ FUƲ", "ɛↄx ǝԑ ϵο раху", "‘Tis — “so” ‒ said", "o'er re-do -x- y' 'z", "w​x‌y‍z",
+    "õ-q", "ŝ k-", "7 up", "up٧", "Q", "", "'-'", "LOUD WORDS", "\x1dm\x0bn\x85o", "one\ttwo\nthree", "p_q{r}`~",
 ]
 
 
