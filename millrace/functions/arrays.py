@@ -55,13 +55,28 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+#: The code points that stand for words: all planes above the first, two of which no text needs.
+_FIRST_CODE, _CODES = 0x10000, 0x100000
+
+
+def mono(samples: Column, channels: Column) -> Column:
+    """Interleaved samples as their channels' means, scaled down to one where 16-bit values were given."""
+    frames = F.floor(F.size(samples) / channels).cast("int")
+    at = lambda i: F.slice(samples, (i * channels + 1).cast("int"), channels.cast("int"))
+    mean = F.transform(F.sequence(F.lit(0), frames - 1), lambda i: F.aggregate(at(i), F.lit(0.0), lambda a, x: a + x) / channels)
+    mean = F.when(frames > 0, mean).otherwise(F.array().cast("array<double>"))
+    loud = F.array_max(F.transform(mean, lambda x: F.abs(x))) > 1
+    return F.when(loud, F.transform(mean, lambda x: x / 32768)).otherwise(mean)
+
+
 def word_edits(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of words: every distinct word of the pair becomes one character. Room for 20,000
-    distinct words a pair; a pair with more falls back to null."""
+    """Edit distance of two arrays of words: every distinct word of the pair becomes one character. A pair of more than
+    a million distinct words is an error, never a row that sums leave out."""
     known = F.array_distinct(F.concat(a, b))
 
     def spelled(words: Column) -> Column:
-        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 19967), 4, "0")), "UTF-16BE")
-        return F.array_join(F.transform(words, code), "")
+        code = lambda w: F.lpad(F.hex(F.array_position(known, w) + (_FIRST_CODE - 1)), 8, "0")
+        return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
 
-    return F.when(F.size(known) <= 20_000, F.levenshtein(spelled(a), spelled(b)))
+    small = F.size(known) <= _CODES
+    return F.when(small, F.levenshtein(spelled(a), spelled(b))).otherwise(F.raise_error(F.lit("a pair of texts has over a million distinct words")).cast("int"))

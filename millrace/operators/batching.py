@@ -38,7 +38,7 @@ def length_buckets(df: DataFrame, budget: float, most: int | None = None, keys:
     """df plus its batch: ascending durations, a new batch where longest x (rows + 1) would exceed the budget.
 
     Only durations decide where batches end, so the fold runs over a partition's distinct durations with their counts;
-    rows find their batch by their rank among equal durations."""
+    rows find their batch by their rank among equal durations. A row without a duration counts as one of none."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("duration")
@@ -48,14 +48,19 @@ def length_buckets(df: DataFrame, budget: float, most: int | None = None, keys:
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    counts = df.groupBy(*keys, "duration").agg(F.count("*").alias("n"))
+    held = df.withColumn("_d", F.coalesce(F.col("duration").cast("double"), F.lit(0.0)))
+    counts = held.groupBy(*keys, F.col("_d").alias("duration")).agg(F.count("*").alias("n"))
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     plan = counts.groupBy(*keys).applyInPandas(fold, f"{kinds}, duration double, taken long, room long, first long, length long")
-    rank = F.row_number().over(Window.partitionBy(*keys, "duration").orderBy(*order)) - 1
-    placed = df.withColumn("_r", rank).join(plan, [*keys, "duration"])
+    rank = F.row_number().over(Window.partitionBy(*keys, "_d").orderBy(*order)) - 1
+    ranked = held.withColumn("_r", rank)
+    same = ranked["_d"] == plan["duration"]
+    for k in keys:
+        same = same & ranked[k].eqNullSafe(plan[k])
+    placed = ranked.join(plan, same).select(*[ranked[c] for c in ranked.columns], "taken", "room", "first", "length")
     late = F.col("first") + 1 + F.floor((F.col("_r") - F.col("taken")) / F.col("room"))
     batch = F.when(F.col("_r") < F.col("taken"), F.col("first")).otherwise(late)
-    return placed.withColumn("batch", batch.cast("long")).drop("_r", "taken", "room", "first", "length")
+    return placed.withColumn("batch", batch.cast("long")).drop("_r", "_d", "taken", "room", "first", "length")
 
 
 def shuffle_batches(batches: DataFrame, epoch: int, seed: int = SEED, keys: tuple[str, ...] = ("config",)) -> DataFrame:
@@ -67,20 +72,24 @@ def shuffle_batches(batches: DataFrame, epoch: int, seed: int = SEED, keys: tupl
 
 def size_shards(df: DataFrame, limit: float, key: str = "config", order: str = "pos", size: str = "size") -> DataFrame:
     """df plus its shard: a shard ends with the row that brings it to the limit. The rule looks back to the last cut, so
-    a key's (place, size) pairs are folded in order; nothing else of its rows is gathered."""
-    name, kind = key, df.schema[key].dataType.simpleString()
+    a key's (place, size) pairs are folded in order; nothing else of its rows is gathered. Rows of one place go by size,
+    those without a place come first, and a row without a size has none."""
+    kind, at_kind = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
+        pdf = pdf.sort_values(["no_place", "at", "nth"], ascending=[False, True, True])
         out, held, shard = [], 0.0, 0
         for s in pdf["size"]:
             out.append(shard)
             held += s
             if held >= limit:
                 shard, held = shard + 1, 0.0
-        return pd.DataFrame({name: pdf[name], "at": pdf["at"], "shard_id": out})
-
-    narrow = df.select(key, F.col(order).alias("at"), F.col(size).cast("double").alias("size"))
-    at_kind = df.schema[order].dataType.simpleString()
-    cut = narrow.groupBy(key).applyInPandas(fold, f"{name} {kind}, at {at_kind}, shard_id long")
-    return df.join(cut.withColumnRenamed("at", order), [key, order])
+        return pd.DataFrame({"k": pdf["k"], "at": pdf["at"], "nth": pdf["nth"], "shard_id": out})
+
+    # The number of a row among those of its place: rows of one place and size may stand for each other.
+    sized = df.withColumn("_s", F.coalesce(F.col(size).cast("double"), F.lit(0.0)))
+    sized = sized.withColumn("_n", F.row_number().over(Window.partitionBy(key, order).orderBy("_s")).cast("long"))
+    narrow = sized.select(F.col(key).alias("k"), F.col(order).alias("at"), F.col(order).isNull().alias("no_place"), F.col("_n").alias("nth"), F.col("_s").alias("size"))
+    cut = narrow.groupBy("k").applyInPandas(fold, f"k {kind}, at {at_kind}, nth long, shard_id long")
+    same = sized[key].eqNullSafe(cut["k"]) & sized[order].eqNullSafe(cut["at"]) & (sized["_n"] == cut["nth"])
+    return sized.join(cut, same).select(*[sized[c] for c in df.columns], "shard_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,49 @@ def checks(spark: SparkSession, rows: list[tuple[str, bool, str]], warn: tuple[s
     return spark.createDataFrame(named, "check string, status string, detail string")
 
 
+def doctor(spark: SparkSession, needed: dict[str, DataFrame | None], wanted: dict[str, DataFrame | None], columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """(check, status, detail) of artifacts: tables that are needed (missing: FAIL) or wanted (missing: WARN), with
+    their rows and configs, and of the columns that tables must have."""
+    rows, warn = [], []
+    for name, table in [*needed.items(), *wanted.items()]:
+        if table is None:
+            rows.append((name, False, "missing"))
+            warn += [name] if name in wanted and name not in needed else []
+            continue
+        held = table.agg(F.count("*").alias("n"), (F.countDistinct("config") if "config" in table.columns else F.lit(None)).alias("c")).first()
+        rows.append((name, True, f"{held['n']:,} rows" + ("" if held["c"] is None else f", {held['c']} configs")))
+    for name, want in (columns or {}).items():
+        table = needed.get(name) if needed.get(name) is not None else wanted.get(name)
+        gone = sorted(set(want) - set(table.columns if table is not None else []))
+        rows.append((f"{name} columns", not gone, f"missing {gone}" if gone else "/".join(want)))
+    return checks(spark, rows, tuple(warn))
+
+
+def real_time_factor(seconds: Column, samples: Column, rate: Column) -> Column:
+    """Seconds of work for each second of audio."""
+    return seconds / F.greatest(samples / rate, F.lit(1e-9))
+
+
+# Classes in the order in which they are sought, with their TFLOPS, and the default.
+DEVICE_CLASSES = {"T4": 65, "P100": 19, "V100": 125, "A100": 312, "L4": 121, "H100": 989, "H200": 989, "A10G": 125, "RTX": 165}
+UNKNOWN_DEVICE = ("unknown", 65.0)
+
+
+def device_class(name: Column) -> tuple[Column, Column]:
+    """(class, TFLOPS) of a device's name: the first class that it holds, in any case and spacing."""
+    plain = F.replace(F.upper(name), F.lit(" "), F.lit(""))
+    found = F.filter(F.array(*map(F.lit, DEVICE_CLASSES)), lambda c: F.contains(plain, c))
+    speed = F.create_map(*[F.lit(v) for k, t in DEVICE_CLASSES.items() for v in (k, float(t))])
+    first = F.get(found, F.lit(0))
+    return F.coalesce(first, F.lit(UNKNOWN_DEVICE[0])), F.coalesce(F.try_element_at(speed, first), F.lit(UNKNOWN_DEVICE[1]))
+
+
+def extrapolated_hours(hours: Column, epochs: Column, audio_seconds_per_second: Column, here: Column, there: Column) -> tuple[Column, Column]:
+    """(hours of training here, hours on a device of other speed) at a measured rate."""
+    own = hours * epochs / audio_seconds_per_second
+    return own, own * here / there
+
+
 def progress_rate(points: DataFrame, key: str = "user_id") -> DataFrame:
     """Steps a second between the first and the last point; with no time between them, steps so far over 1 second."""
     ends = points.groupBy(key).agg(

@@ -9,7 +9,7 @@ from millrace.functions import arrays as A
 from millrace.operators import scoring, stages, vectors
 from millrace.sources import fixtures
 
-from .base import add
+from .base import add, norm
 
 pairs, clips = fixtures.pairs, fixtures.clips
 
@@ -18,17 +18,58 @@ def _errors(s, d):
     return scoring.utterance_errors(pairs(s, d))
 
 
-# Edit distances of whole texts have no affordable SQL form; tests hold these against brute force.
-add("utterance_errors", lambda s, d: _errors(s, d).select("conv_id", "turn", "config", "word_errors", "words", "char_errors", "chars"))
-add("wer_cer_by_lang", lambda s, d: scoring.scores_by_config(_errors(s, d)))
-add("score_rollup", lambda s, d: scoring.rollup(_errors(s, d)))
+#: Distances in SQL. Words: rows of the distance table one after the other, each an array, where a place is the least of
+#: what comes from above and of any place before plus the way from there. Characters: the pair's distinct ones become
+#: single bytes, as the engine's own distance counts bytes.
+_ERRORS = f"""normal AS (SELECT *, {norm("reference")} AS r, {norm("hypothesis")} AS h FROM pairs),
+    listed AS (SELECT *, list_filter(string_split(r, ' '), lambda w: w <> '') AS rw, list_filter(string_split(h, ' '), lambda w: w <> '') AS hw,
+      replace(r, ' ', '') AS rc, replace(h, ' ', '') AS hc, list_distinct(string_split(replace(r || h, ' ', ''), '')) AS known FROM normal),
+    steps AS (
+      SELECT conv_id, turn, 0::BIGINT AS i, range(0, len(hw) + 1) AS held, rw, hw FROM listed
+      UNION ALL
+      SELECT conv_id, turn, i + 1, list_transform(range(0, len(hw) + 1), lambda j: list_min(reach[1:j + 1]) + j), rw, hw
+      FROM (SELECT conv_id, turn, i, rw, hw, list_prepend(i + 1, list_transform(range(1, len(hw) + 1),
+        lambda j: least(held[j + 1] + 1, held[j] + CASE WHEN rw[i + 1] = hw[j] THEN 0 ELSE 1 END) - j)) AS reach FROM steps WHERE i < len(rw))
+    ),
+    words AS (SELECT conv_id, turn, held[len(hw) + 1] AS word_errors FROM steps WHERE i = len(rw)),
+    errors AS (SELECT l.conv_id, l.turn, config, language_pred, word_errors, len(rw) AS words, length(rc) AS chars,
+      levenshtein(translate(rc, array_to_string(known, ''), array_to_string(list_transform(range(1, len(known) + 1), lambda c: chr(CAST(c AS INTEGER))), '')),
+        translate(hc, array_to_string(known, ''), array_to_string(list_transform(range(1, len(known) + 1), lambda c: chr(CAST(c AS INTEGER))), ''))) AS char_errors
+      FROM listed l JOIN words w ON l.conv_id = w.conv_id AND l.turn = w.turn)"""
+_RATE = "CASE WHEN sum({b}) > 0 THEN CAST(sum({a}) AS DOUBLE) / CAST(sum({b}) AS DOUBLE) ELSE 0 END"
+_WER, _CER = _RATE.format(a="word_errors", b="words"), _RATE.format(a="char_errors", b="chars")
+_SCORES = f"""count(*) AS n, CAST(sum(word_errors) AS BIGINT) AS word_errors, CAST(sum(words) AS BIGINT) AS words, CAST(sum(char_errors) AS BIGINT) AS char_errors,
+      CAST(sum(chars) AS BIGINT) AS chars, round({_WER}, 4) AS wer, round({_CER}, 4) AS cer, avg(CASE WHEN language_pred <> '' THEN CAST(language_pred = config AS INTEGER) END) AS lid_acc"""
+add(
+    "utterance_errors",
+    lambda s, d: _errors(s, d).select("conv_id", "turn", "config", "word_errors", "words", "char_errors", "chars"),
+    f"{_ERRORS} SELECT conv_id, turn, config, word_errors, words, char_errors, chars FROM errors",
+    ("pairs",),
+)
+add("wer_cer_by_lang", lambda s, d: scoring.scores_by_config(_errors(s, d)), f"{_ERRORS} SELECT config, {_SCORES} FROM errors GROUP BY config", ("pairs",))
+add(
+    "score_rollup",
+    lambda s, d: scoring.rollup(_errors(s, d)),
+    f"""{_ERRORS}, per AS (SELECT config, {_SCORES} FROM errors GROUP BY config)
+    SELECT * FROM per UNION ALL SELECT '__micro__', {_SCORES} FROM errors
+    UNION ALL SELECT '__macro__', CAST(sum(n) AS BIGINT), CAST(sum(word_errors) AS BIGINT), CAST(sum(words) AS BIGINT), CAST(sum(char_errors) AS BIGINT), CAST(sum(chars) AS BIGINT),
+      round(avg(wer), 4), round(avg(cer), 4), avg(lid_acc) FROM per""",
+    ("pairs",),
+)
 add(
     "lid_accuracy",
     lambda s, d: scoring.lid_accuracy(pairs(s, d)),
     "SELECT config, count(*) AS n, avg(CAST(language_pred = config AS INTEGER)) AS lid_acc FROM pairs WHERE language_pred <> '' GROUP BY config",
     ("pairs",),
 )
-add("leak_gap", lambda s, d: (lambda e: scoring.leak_gap(e.where("conv_id % 2 = 0"), e.where("conv_id % 2 = 1")))(_errors(s, d)))
+add(
+    "leak_gap",
+    lambda s, d: (lambda e: scoring.leak_gap(e.where("conv_id % 2 = 0"), e.where("conv_id % 2 = 1")))(_errors(s, d)),
+    f"""{_ERRORS}, side AS (SELECT config, conv_id % 2 AS k, {_WER} AS rate FROM errors GROUP BY 1, 2)
+    SELECT a.config, a.rate AS honest, b.rate AS leaked, (a.rate - b.rate) * 100 AS gap_points, CASE WHEN b.rate > 0 THEN a.rate / b.rate - 1 END AS inflation
+    FROM side a JOIN side b ON a.config = b.config AND a.k = 0 AND b.k = 1""",
+    ("pairs",),
+)
 _CIS = [("a", -0.4, 0.1), ("b", 0.2, 0.9), ("c", -1.9, -0.3), ("d", 0.0, 0.0)]
 add(
     "leak_verdict",
@@ -36,7 +77,13 @@ add(
     "SELECT name, CASE WHEN low <= 0 AND high >= 0 THEN 'spans zero' WHEN low > 0 THEN 'leakage helps' ELSE 'leakage hurts' END AS verdict FROM (VALUES "
     + ", ".join(f"('{n}', {a}, {b})" for n, a, b in _CIS) + ") t(name, low, high)",
 )
-add("matched_compare", lambda s, d: (lambda e: scoring.matched_compare(e, e.where("config <> 'system' and turn % 2 = 0")))(_errors(s, d)))
+add(
+    "matched_compare",
+    lambda s, d: (lambda e: scoring.matched_compare(e, e.where("config <> 'system' and turn % 2 = 0")))(_errors(s, d)),
+    f"""{_ERRORS}, theirs AS (SELECT * FROM errors WHERE config <> 'system' AND turn % 2 = 0), ours AS (SELECT * FROM errors WHERE config IN (SELECT config FROM theirs))
+    SELECT o.*, t.* FROM (SELECT {_WER} AS ours, count(*) AS n_ours FROM ours) o, (SELECT {_WER} AS theirs, count(*) AS n_theirs FROM theirs) t""",
+    ("pairs",),
+)
 add(
     "not_covered",
     lambda s, d: pairs(s, d).select("config").distinct().join(pairs(s, d).where("config <> 'system'").select("config"), "config", "left_anti"),

@@ -85,11 +85,37 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
 def attach_files(rows: DataFrame, spark: SparkSession, root: str, path_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows with their file's bytes, rows whose file is missing); path_col is relative to root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    place = F.regexp_replace("path", r"^.*?" + "\\Q" + root.rstrip("/").rsplit("/", 1)[-1] + "\\E/", "")
-    files = files.select(place.alias(path_col), F.col("content").alias("bytes"))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/") + "/"
+    # Listings name files with or without the file system's authority: the part behind the root is the same.
+    below = F.length(F.lit(whole)) if "://" in whole else F.length(F.lit(whole)) - F.length(F.lit("file:"))
+    plain = F.regexp_replace("path", "^file:/*", "/") if "://" not in whole else F.col("path")
+    files = files.select(F.substr(plain, below + 1).alias(path_col), F.col("content").alias("bytes"))
     return rows.join(files, path_col), rows.join(files.select(path_col), path_col, "left_anti")
 
 
+def directory_size(spark: SparkSession, root: str) -> int:
+    """Bytes of all files under root, from their listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return int(files.agg(F.sum("length")).first()[0] or 0)
+
+
+def read_split(spark: SparkSession, root: str, prefix: str, text_col: str = "text") -> DataFrame:
+    """(audio, text, seconds) of the files root/<prefix>-*.parquet; none is an error. Rows without audio or text go; a
+    row without a stated length gets that of its bytes (16-bit samples at 16 kHz behind a header of 44 bytes)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        df = spark.read.parquet(f"{root}/{prefix}-*.parquet")
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no {prefix}-*.parquet under {root}") from error
+    audio = F.col("audio.bytes") if isinstance(df.schema["audio"].dataType, T.StructType) else F.col("audio")
+    stated = F.col("duration_ms").cast("string").try_cast("double") / 1000 if "duration_ms" in df.columns else F.lit(None).cast("double")
+    guessed = F.greatest(F.length(audio) - 44, F.lit(0)) / 32000
+    out = df.select(audio.alias("audio"), F.trim(F.col(text_col)).alias("text"), F.coalesce(stated, guessed).alias("seconds"))
+    return out.where((F.length("audio") > 0) & (F.length("text") > 0))
+
+
 TARGET = T.StructType(
     [
         T.StructField("config", T.StringType()),

@@ -26,10 +26,21 @@ def write_routed(df: DataFrame, path: str, side: str = "side") -> None:
     df.write.mode("overwrite").partitionBy(side).parquet(path)
 
 
-def write_shards(df: DataFrame, path: str, limit_bytes: int, size: str = "size", block_bytes: int | None = None) -> None:
-    """Files of about limit_bytes of the `size` column: rows are dealt by their running size within a partition."""
-    total = df.agg(F.sum(size)).first()[0] or 0
-    writer = df.repartition(max(1, -(-int(total) // limit_bytes))).write.mode("overwrite").option("compression", "zstd")
+def write_shards(df: DataFrame, path: str, limit_bytes: int, size: str = "size", block_bytes: int | None = None, buckets: int = 256) -> None:
+    """A file for each shard: rows run by hash, and a shard ends with the row that brings its `size` to limit_bytes, so
+    a file holds less than the limit and one row. Sums run within hash buckets, on top of the sums of those before."""
+    h = F.xxhash64(*df.columns)
+    weight = F.coalesce(F.col(size).cast("double"), F.lit(0.0))
+    rows = df.withColumns({"_h": h, "_w": weight}).withColumn("_b", F.shiftright("_h", 56).cast("int") if buckets == 256 else F.pmod("_h", F.lit(buckets)).cast("int"))
+    sums = rows.groupBy("_b").agg(F.sum("_w").alias("_t"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    sums = sums.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_base"))
+    inner = Window.partitionBy("_b").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(F.broadcast(sums), "_b").withColumn("_at", F.col("_base") + F.coalesce(F.sum("_w").over(inner), F.lit(0.0)))
+    total = df.agg(F.sum(weight)).first()[0] or 0.0
+    n = int(total // limit_bytes) + 1
+    moved = placed.withColumn("_shard", F.least(F.floor(F.col("_at") / limit_bytes), F.lit(n - 1)).cast("int")).repartitionById(n, "_shard")
+    writer = moved.select(*df.columns).write.mode("overwrite").option("compression", "zstd")
     if block_bytes:
         writer = writer.option("parquet.block.size", block_bytes)
     writer.parquet(path)

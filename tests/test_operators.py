@@ -72,10 +72,13 @@ def test_splits_keep_groups_whole_and_rescue_a_test_book(spark):
     assert 0.02 < part / total < 0.12
 
 
-def test_water_fill_and_budget(spark):
-    target = mixture.water_fill([("a", 100.0, 0.5), ("b", 10.0, 0.3), ("c", 80.0, 0.2)], 120.0, 60.0)
-    assert sum(target.values()) == pytest.approx(120, abs=0.5)
-    assert all(target[c] <= min(60, a) + 1e-9 for c, a in (("a", 100), ("b", 10), ("c", 80)))
+def test_targets_and_budget(spark):
+    weights = spark.createDataFrame([("a", 100.0, 0.5), ("b", 10.0, 0.3), ("c", 80.0, 0.2)], "config string, avail double, weight double")
+    got = {r.config: r for r in mixture.mixture_targets(weights, 120.0, 60.0).collect()}
+    assert sum(r.target for r in got.values()) == pytest.approx(120, abs=0.5)
+    assert got["b"].target == 10 and all(r.target <= min(60, r.avail) + 1e-9 for r in got.values())
+    few = mixture.mixture_targets(weights, 1000.0, 60.0).collect()
+    assert {r.config: r.target for r in few} == {"a": 60, "b": 10, "c": 60} and mixture.mixture_targets(weights.limit(0), 9.0, 9.0).count() == 0
     pool = spark.createDataFrame([("a", str(i), 10.0) for i in range(500)], "config string, id string, duration double")
     goal = spark.createDataFrame([("a", 1001 / 3600)], "config string, target double")
     assert mixture.select_to_budget(pool, goal).count() == 101
@@ -119,6 +122,72 @@ def test_size_shards(spark):
     assert [r.shard_id for r in batching.size_shards(df, 10).orderBy("pos").collect()] == [0, 0, 1, 1, 2, 2, 2, 3]
 
 
+def test_no_row_is_lost_or_doubled_in_batches(spark):
+    rows = [("a", "1", None, 1), ("a", "2", 5.0, 1), ("a", "2", 5.0, 1), (None, "3", 5.0, None), ("a", "4", 7.0, None)]
+    df = spark.createDataFrame(rows, "config string, id string, duration double, pos int")
+    assert sorted(map(repr, (tuple(r)[:4] for r in batching.length_buckets(df, 12.0).collect()))) == sorted(map(repr, rows))
+    cut = batching.size_shards(df.withColumn("size", F.col("duration")), 6.0).collect()
+    assert sorted(map(repr, (tuple(r)[:4] for r in cut))) == sorted(map(repr, rows))
+    assert sorted(r.shard_id for r in cut if r.config == "a") == [0, 1, 1, 1]
+
+
+def test_word_edits_of_many_words(spark):
+    a = [f"w{i}" for i in range(2000)]
+    b = a[:100] + ["x"] + a[100:]
+    df = spark.createDataFrame([(a[:400], b[:401]), (a, a), ([], ["q"]), (a, a[1500:])], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(A.word_edits(F.col("a"), F.col("b"))).collect()] == [1, 0, 1, 1500]
+    # The code points of words: far more than a text has, none of them a surrogate.
+    assert A._FIRST_CODE > 0xDFFF and A._FIRST_CODE + A._CODES - 1 == 0x10FFFF
+
+
+def test_small_functions(spark, tmp_path):
+    wave = spark.createDataFrame([([32768.0, 0.0, 16384.0, 16384.0], 2), ([0.5, -0.5, 1.0], 1), ([], 2)], "x array<double>, c int")
+    assert [r[0] for r in wave.select(A.mono(F.col("x"), F.col("c"))).collect()] == [[0.5, 0.5], [0.5, -0.5, 1.0], []]
+    names = spark.createDataFrame([("NVIDIA A 100-SXM",), ("Tesla t4",), ("a10g",), ("cpu",), (None,)], "n string")
+    got = [tuple(r) for r in names.select(*stages.device_class(F.col("n"))).collect()]
+    assert got == [("A100", 312.0), ("T4", 65.0), ("A10G", 125.0), ("unknown", 65.0), ("unknown", 65.0)]
+    one = spark.range(1).select(stages.real_time_factor(F.lit(2.0), F.lit(16000), F.lit(16000)).alias("f"), *stages.extrapolated_hours(F.lit(10), F.lit(3), F.lit(60.0), F.lit(65.0), F.lit(130.0))).first()
+    assert tuple(one) == (2.0, 0.5, 0.25)
+    rows = spark.createDataFrame([("a", "1", "xx"), ("a", "2", "yyyy"), ("b", "3", None)], "config string, id string, text string")
+    told = {r.check: (r.status, r.detail) for r in stages.doctor(spark, {"manifest": rows, "splits": None}, {"testset": None}, {"manifest": ["id", "audio"]}).collect()}
+    assert told == {"manifest": ("ok", "3 rows, 2 configs"), "splits": ("FAIL", "missing"), "testset": ("WARN", "missing"), "manifest columns": ("FAIL", "missing ['audio']")}
+    (tmp_path / "d.json").write_text('{\n "a": {"b": 1},\n "c": [1, 2]\n}')
+    assert scans.read_document(spark, f"{tmp_path}/d.json").select("a.b", "c").first() == (1, [1, 2])
+    rows.repartition(3).write.parquet(f"{tmp_path}/parts")
+    sinks.merge_parts(spark, f"{tmp_path}/parts", f"{tmp_path}/one", 1)
+    assert len(list((tmp_path / "one").glob("*.parquet"))) == 1 and spark.read.parquet(f"{tmp_path}/one").count() == 3
+    assert scans.directory_size(spark, f"{tmp_path}/one") == sum(f.stat().st_size for f in (tmp_path / "one").glob("*.parquet"))
+    assert sinks.row_group_bytes(rows, "text", 0.000012) == 12 and sinks.row_group_bytes(rows.limit(0), "text", 1) == 1_000_000
+    assert sinks.with_metadata(rows, "text", {"unit": "word"}).schema["text"].metadata == {"unit": "word"}
+    assert sinks.split_header(["train", "dev"]).splitlines()[-1] == "    path: data/dev-*.parquet" and "- split: train" in sinks.split_header(["train"])
+    many = spark.createDataFrame([("a", i) for i in range(60)] + [("b", 1)], "config string, pos int")
+    parts = {(r.config, r.part): r["count"] for r in sinks.eval_cut(many, 5, "pos").groupBy("config", "part").count().collect()}
+    assert parts == {("a", "eval"): 3, ("a", "train"): 57, ("b", "eval"): 1}
+
+
+def test_shard_files_keep_the_limit(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 17 + 1) for i in range(900)] + [(7, None)], "id int, size int")
+    sinks.write_shards(df, f"{tmp_path}/s", 500)
+    per = [sum(r.size or 0 for r in spark.read.parquet(str(f)).collect()) for f in (tmp_path / "s").glob("*.parquet")]
+    assert sum(per) == sum(i % 17 + 1 for i in range(900)) and max(per) < 500 + 17 and len(per) == sum(per) // 500 + 1
+    assert spark.read.parquet(f"{tmp_path}/s").count() == 901
+
+
+def test_split_source(spark, tmp_path):
+    (tmp_path / "data" / "x" / "data").mkdir(parents=True)
+    root = f"{tmp_path}/data/x/data"
+    rows = [(bytearray(32044), " a ", "1500"), (bytearray(44 + 64000), "b", None), (bytearray(50), "c", "?"), (None, "d", "1"), (bytearray(b"z"), "  ", "1")]
+    spark.createDataFrame([((a, "p"), t, d) for a, t, d in rows], "audio struct<bytes binary, path string>, text string, duration_ms string").coalesce(1).write.parquet(f"{root}/t")
+    next((tmp_path / "data" / "x" / "data" / "t").glob("*.parquet")).rename(f"{root}/train-0.parquet")
+    got = sorted((r.text, r.seconds) for r in scans.read_split(spark, root, "train").collect())
+    assert got == [("a", 1.5), ("b", 2.0), ("c", 6 / 32000)]
+    with pytest.raises(FileNotFoundError):
+        scans.read_split(spark, root, "dev")
+    (tmp_path / "data" / "x" / "data" / "n.bin").write_bytes(b"12")
+    have, missing = scans.attach_files(spark.createDataFrame([("n.bin",), ("m.bin",)], "file string"), spark, root, "file")
+    assert bytes(have.first().bytes) == b"12" and [r.file for r in missing.collect()] == ["m.bin"]
+
+
 def test_clusters(spark):
     rng = np.random.default_rng(0)
     centres = np.eye(3) * 10
