@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.arrays import dot, norm
+from millrace.functions.arrays import norm
 
 
 def l2_normalize(df: DataFrame, column: str = "vector", least: float = 1e-6) -> DataFrame:
@@ -16,24 +16,42 @@ def l2_normalize(df: DataFrame, column: str = "vector", least: float = 1e-6) ->
     return kept.withColumn(column, F.transform(column, lambda x: x / F.col("_n"))).drop("_n")
 
 
-def similarity_pairs(df: DataFrame, rows_per_block: int = 1024) -> DataFrame:
+def similarity_pairs(df: DataFrame, rows_per_block: int = 512) -> DataFrame:
     """(a, b, book_a, book_b, cosine) of all pairs a < b of one partition's clips.
 
-    Clips are dealt to blocks; a pair of blocks meets in one equi-join key, so that no side is broadcast and every task
-    holds two blocks. Each pair of clips meets once."""
-    lengthy = df.select("vec_id", "book", "vector", norm(F.col("vector")).alias("n")).where("n > 1e-6")
+    Clips are dealt to blocks; a pair of blocks meets in one equi-join key and is one matrix product, so that no side is
+    broadcast and every task holds two blocks. Each pair of clips meets once. Clips without an id or a length, or with
+    vectors of different sizes, meet nothing."""
+    lengthy = df.select("vec_id", "book", "vector", F.size("vector").alias("dims"), norm(F.col("vector")).alias("n"))
+    lengthy = lengthy.where("n > 1e-6 AND vec_id IS NOT NULL")
     blocks = max(1, -(-df.count() // rows_per_block))
     dealt = lengthy.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    ids, books = (df.schema[c].dataType.simpleString() for c in ("vec_id", "book"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: pd.Series([], dtype=k) for c, k in zip(("a", "b", "book_a", "book_b", "cosine"), ("int64", "int64", object, object, "float64"))})
+        x, y = (np.array(side["vector"].tolist(), float) for side in (left, right))
+        cosine = x @ y.T / (left["n"].to_numpy()[:, None] * right["n"].to_numpy()[None])
+        first, second = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+        same = left["i"].iloc[0] == right["j"].iloc[0]
+        # Within a block both orders of a pair occur; across blocks each pair occurs once, in either order.
+        i, j = np.nonzero(first[:, None] < second[None]) if same else (k.reshape(-1) for k in np.indices(cosine.shape))
+        ordered = first[i] < second[j]
+        a, b = left["book"].to_numpy()[i], right["book"].to_numpy()[j]
+        return pd.DataFrame({
+            "a": np.where(ordered, first[i], second[j]), "b": np.where(ordered, second[j], first[i]),
+            "book_a": pd.Series(np.where(ordered, a, b), dtype=object), "book_b": pd.Series(np.where(ordered, b, a), dtype=object),
+            "cosine": cosine[i, j],
+        })
+
     all_blocks = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = dealt.select(F.col("block").alias("i"), F.explode(F.filter(all_blocks, lambda j: j >= F.col("block"))).alias("j"), F.struct("vec_id", "book", "vector", "n").alias("x"))
-    right = dealt.select(F.explode(F.filter(all_blocks, lambda i: i <= F.col("block"))).alias("i"), F.col("block").alias("j"), F.struct("vec_id", "book", "vector", "n").alias("y"))
-    met = left.join(right, ["i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x.vec_id") < F.col("y.vec_id")))
-    low, high = (F.when((F.col("x.vec_id") < F.col("y.vec_id")) == first, F.col("x")).otherwise(F.col("y")) for first in (True, False))
-    ordered = met.select(low.alias("x"), high.alias("y"))
-    return ordered.select(
-        F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), F.col("x.book").alias("book_a"), F.col("y.book").alias("book_b"),
-        (dot(F.col("x.vector"), F.col("y.vector")) / (F.col("x.n") * F.col("y.n"))).alias("cosine"),
-    )
+    held = ("vec_id", "book", "vector", "n")
+    fresh = lambda: dealt.select("block", *[F.col(c).alias(c) for c in ("dims", *held)])
+    left = fresh().select("dims", F.col("block").alias("i"), F.explode(F.filter(all_blocks, lambda j: j >= F.col("block"))).alias("j"), *held)
+    right = fresh().select("dims", F.explode(F.filter(all_blocks, lambda i: i <= F.col("block"))).alias("i"), F.col("block").alias("j"), *held)
+    keys = ("dims", "i", "j")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"a {ids}, b {ids}, book_a {books}, book_b {books}, cosine double")
 
 
 def similarity_stats(pairs: DataFrame) -> DataFrame:

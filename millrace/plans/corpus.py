@@ -11,6 +11,7 @@ from millrace.operators import batching, dedupe, mixture, profile, splits, stage
 from millrace.operators.splits import SEED
 from millrace.sources import fixtures, scans
 from millrace.sources.fixtures import BIG_ORDER
+from millrace.sources.interim import materialise
 
 from .base import add, norm, split_ctes, trainable
 from .texts import RUNS
@@ -272,24 +273,25 @@ add(
 HOURS, CAP = 300.0, 150.0
 
 
-def _normal(df):
-    return df.withColumn("normal", X.normalize(F.col("text")))
-
-
+def _flagged(s, d):
+    """Segments without their texts but with whether they may train. Mixtures and evaluation sets read them many times,
+    so texts are normalized in one scan and the narrow table is written."""
+    rows = seg(s, d).withColumn("normal", X.normalize(F.col("text")))
+    rows = rows.withColumn("trainable", X.is_trainable(F.col("text"), F.col("normal")))
+    return materialise(rows.select("config", "book", "id", "shard", "duration", "trainable"), "flagged")
 
 
-def _pool(s, d):
-    rows = seg(s, d).join(_splits(s, d).where("split = 'train'").select("config", "book"), ["config", "book"], "left_semi")
-    rows = _normal(rows)
-    return dedupe.min_duration(rows.where(X.is_trainable(F.col("text"), F.col("normal"))))
+def _pool(rows):
+    train = splits.assign_groups(rows).where("split = 'train'").select("config", "book")
+    return dedupe.min_duration(rows.where("trainable").join(train, ["config", "book"], "left_semi"))
 
 
-def _weights(s, d):
-    return mixture.temperature_weights(mixture.available(_pool(s, d)))
+def _weights(rows):
+    return mixture.temperature_weights(mixture.available(_pool(rows)))
 
 
-def _targets(s, d):
-    return mixture.mixture_targets(_weights(s, d), HOURS, CAP)
+def _targets(rows):
+    return mixture.mixture_targets(_weights(rows), HOURS, CAP)
 
 
 _POOL = f"""{_S}, pool AS (SELECT s.config, s.id, min(coalesce(duration, 0)) AS duration FROM segments s JOIN splits p ON s.config = p.config AND s.book = p.book AND p.split = 'train'
@@ -303,26 +305,26 @@ _TARGETS = f"""{_WEIGHTS}, water AS (
       SELECT round + 1, config, avail, weight, CASE WHEN slack > 0.5 AND target < least({CAP}, avail) - 1e-6 THEN least(target + slack * weight / z, {CAP}, avail) ELSE target END
       FROM (SELECT *, {HOURS} - sum(target) OVER () AS slack, sum(CASE WHEN target < least({CAP}, avail) - 1e-6 THEN weight END) OVER () AS z FROM water WHERE round < 20)
     ), targets AS (SELECT config, avail, weight, CAST(target AS DOUBLE) AS target FROM water WHERE round = 20)"""
-add("available_hours", lambda s, d: mixture.available(_pool(s, d)), f"{_POOL} SELECT config, avail FROM avail", ("segments",))
-add("temperature_weights", lambda s, d: _weights(s, d).withColumn("weight", F.round("weight", 9)), f"{_WEIGHTS} SELECT config, avail, round(weight, 9) AS weight FROM weights", ("segments",))
+add("available_hours", lambda s, d: mixture.available(_pool(_flagged(s, d))), f"{_POOL} SELECT config, avail FROM avail", ("segments",))
+add("temperature_weights", lambda s, d: _weights(_flagged(s, d)).withColumn("weight", F.round("weight", 9)), f"{_WEIGHTS} SELECT config, avail, round(weight, 9) AS weight FROM weights", ("segments",))
 add(
     "mixture_targets",
-    lambda s, d: _targets(s, d).select("config", "avail", F.round("weight", 9).alias("weight"), F.round("target", 6).alias("target")),
+    lambda s, d: _targets(_flagged(s, d)).select("config", "avail", F.round("weight", 9).alias("weight"), F.round("target", 6).alias("target")),
     f"{_TARGETS} SELECT config, avail, round(weight, 9) AS weight, round(target, 6) AS target FROM targets",
     ("segments",),
 )
-add("mixture_shares", lambda s, d: mixture.shares(_targets(s, d)).select(F.round("raw_share", 9).alias("raw_share"), F.round("mixed_share", 9).alias("mixed_share")), f"{_TARGETS} SELECT round(max(avail) / greatest(sum(avail), 1e-9), 9) AS raw_share, round(max(target) / greatest(sum(target), 1e-9), 9) AS mixed_share FROM targets", ("segments",))
+add("mixture_shares", lambda s, d: mixture.shares(_targets(_flagged(s, d))).select(F.round("raw_share", 9).alias("raw_share"), F.round("mixed_share", 9).alias("mixed_share")), f"{_TARGETS} SELECT round(max(avail) / greatest(sum(avail), 1e-9), 9) AS raw_share, round(max(target) / greatest(sum(target), 1e-9), 9) AS mixed_share FROM targets", ("segments",))
 
 
-def _selected(s, d):
-    return mixture.select_to_budget(_pool(s, d), _targets(s, d))
+def _selected(rows):
+    return mixture.select_to_budget(_pool(rows), _targets(rows))
 
 
 _SELECTED = f"""{_TARGETS}, placed AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY config ORDER BY md5('{SEED}:' || config || ':' || id), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pool),
     selected AS (SELECT p.config, p.id, p.duration FROM placed p JOIN targets t ON p.config = t.config WHERE before < target * 3600)"""
-add("mixture_select", _selected, f"{_SELECTED} SELECT config, id, duration FROM selected", ("segments",))
-add("semi_selected_ids", lambda s, d: seg(s, d).join(_selected(s, d), ["config", "id"], "left_semi").select("config", "id", "shard"), f"{_SELECTED} SELECT s.config, s.id, shard FROM segments s SEMI JOIN selected USING (config, id)", ("segments",))
-add("anti_trained_ids", lambda s, d: seg(s, d).join(_selected(s, d), ["config", "id"], "left_anti").select("config", "id", "shard"), f"{_SELECTED} SELECT s.config, s.id, shard FROM segments s ANTI JOIN selected USING (config, id)", ("segments",))
+add("mixture_select", lambda s, d: _selected(_flagged(s, d)), f"{_SELECTED} SELECT config, id, duration FROM selected", ("segments",))
+add("semi_selected_ids", lambda s, d: (lambda rows: rows.join(_selected(rows), ["config", "id"], "left_semi"))(_flagged(s, d)).select("config", "id", "shard"), f"{_SELECTED} SELECT s.config, s.id, shard FROM segments s SEMI JOIN selected USING (config, id)", ("segments",))
+add("anti_trained_ids", lambda s, d: (lambda rows: rows.join(_selected(rows), ["config", "id"], "left_anti"))(_flagged(s, d)).select("config", "id", "shard"), f"{_SELECTED} SELECT s.config, s.id, shard FROM segments s ANTI JOIN selected USING (config, id)", ("segments",))
 
 # Evaluation sets
 _MATCH = f"""matched AS (SELECT config, book FROM (SELECT p.config, p.book, row_number() OVER (PARTITION BY p.config ORDER BY md5('{SEED}:match:' || p.config || ':' || p.book), p.book) AS r,
@@ -330,9 +332,8 @@ _MATCH = f"""matched AS (SELECT config, book FROM (SELECT p.config, p.book, row_
 add("match_books", lambda s, d: testset.matched_books(_splits(s, d)), f"{_S}, {_MATCH} SELECT config, book FROM matched", ("segments",))
 
 
-def _pools(s, d, match=True):
-    rows = _normal(seg(s, d))
-    return testset.pools(rows, _splits(s, d), _selected(s, d), X.is_trainable(F.col("text"), F.col("normal")), match)
+def _pools(rows, match=True):
+    return testset.pools(rows, splits.assign_groups(rows), _selected(rows), F.col("trainable"), match)
 
 
 _PICKS = f"""{_SELECTED}, {_MATCH}, fit AS (SELECT s.config, s.id, s.book, s.shard, p.split FROM segments s JOIN splits p ON s.config = p.config AND s.book = p.book WHERE {trainable('text')}),
@@ -342,14 +343,14 @@ _PICKS = f"""{_SELECTED}, {_MATCH}, fit AS (SELECT s.config, s.id, s.book, s.sha
         AND NOT EXISTS (SELECT 1 FROM selected t WHERE t.config = f.config AND t.id = f.id) GROUP BY config, id)"""
 add(
     "eval_sample_topk",
-    lambda s, d: testset.sample(_pools(s, d), 20, 5),
+    lambda s, d: testset.sample(_pools(_flagged(s, d)), 20, 5),
     f"""{_PICKS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY config, side ORDER BY md5('{SEED}:' || config || ':' || side || ':' || id), id) AS r, count(*) OVER (PARTITION BY config, side) AS n FROM pools)
     SELECT config, side, id, shard FROM ranked WHERE r <= 20 AND (side = 'honest' OR n >= 5)""",
     ("segments",),
 )
 add(
     "testset_summary",
-    lambda s, d: testset.summary(_pools(s, d), seg(s, d), 5),
+    lambda s, d: (lambda rows: testset.summary(_pools(rows), rows, 5))(_flagged(s, d)),
     f"""{_PICKS} SELECT c.config, count(*) FILTER (WHERE side = 'honest') AS honest_pool, count(*) FILTER (WHERE side = 'leaked') AS leaked_pool,
       count(*) FILTER (WHERE side = 'leaked') < 5 AS leaked_excluded FROM (SELECT DISTINCT config FROM segments) c LEFT JOIN pools USING (config) GROUP BY c.config""",
     ("segments",),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.parse import parse_source
 
+from .scans import spread
+
 CONFIGS = {"en": "English_eng", "fr": "French_fra", "de": "German_deu", "es": "Spanish_spa"}
 
 
@@ -16,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as segments: config, id, text, duration, source_file, shard, book, chapter, version."""
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     config = F.lit("Unknown_und")
     for lang, name in CONFIGS.items():
         config = F.when(F.col("lang") == lang, name).otherwise(config)
@@ -52,7 +54,7 @@ def segments_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as scored utterances: a turn is the reference, the next turn the hypothesis."""
-    a, b = read(spark, sf_dir, "conversations"), read(spark, sf_dir, "conversations")
+    a, b = spread(read(spark, sf_dir, "conversations")), read(spark, sf_dir, "conversations")
     b = b.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"), F.col("role").alias("next"))
     return a.join(b, ["conv_id", "turn"]).select(
         "conv_id",

@@ -26,6 +26,17 @@ def project(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[c for c in dict.fromkeys(columns) if c in df.columns])
 
 
+#: Bytes of a table that one scan task may read whole: Spark's own size of a split.
+SPLIT_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if its files fit one split, which a single task may read: what follows may cost far more than
+    the read. Larger tables come in many splits and stay where they are, so at most SPLIT_BYTES are ever shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPLIT_BYTES else df
+
+
 def missing_columns(df: DataFrame, required: list[str]) -> DataFrame:
     """(column, status): ok or FAIL for each required column."""
     rows = [(c, "ok" if c in df.columns else "FAIL") for c in required]

@@ -1,3 +1,4 @@
+import math
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -261,3 +262,29 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     assert sorted(r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
     doubled = ingest.apply_model(spark.range(3), lambda parts: (pd.DataFrame({"y": p["id"] * 2}) for p in parts), "y long")
     assert sorted(r.y for r in doubled.collect()) == [0, 2, 4]
+
+
+def test_similarity_pairs_over_blocks(spark):
+    """Every pair once whatever the blocks; clips without an id, a length or the others' size meet nothing."""
+    rows = [(i, str(i % 3), [float(i % 7 - 3), float(i % 5), float(i % 4 - 1)]) for i in range(60)]
+    odd = [(None, "0", [1.0, 2.0, 3.0]), (97, "1", [0.0, 0.0, 0.0]), (98, None, [1.0, 1.0]), (99, "2", None)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, book string, vector array<double>")
+    want = {}
+    for a, book_a, x in rows:
+        for b, book_b, y in rows:
+            n = math.sqrt(sum(v * v for v in x)) * math.sqrt(sum(v * v for v in y))
+            if a < b and n > 0:
+                want[a, b] = (book_a, book_b, round(sum(v * w for v, w in zip(x, y)) / n, 9))
+    for per_block in (512, 16, 3):
+        got = [(r.a, r.b, r.book_a, r.book_b, round(r.cosine, 9)) for r in vectors.similarity_pairs(df, per_block).collect()]
+        assert len(got) == len(want) and {(a, b): tuple(rest) for a, b, *rest in got} == want
+    assert vectors.similarity_pairs(df.limit(0)).collect() == []
+
+
+def test_spread_only_small_tables(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    df = spark.read.parquet(f"{tmp_path}/one")
+    assert scans.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in scans.spread(df).collect()) == list(range(1000))
+    monkeypatch.setattr(scans, "SPLIT_BYTES", 10)
+    assert scans.spread(df) is df
