@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.interim import materialise
+
 from .splits import SEED, shuffled
 
 
@@ -70,26 +74,101 @@ def shuffle_batches(batches: DataFrame, epoch: int, seed: int = SEED, keys: tupl
     return one.withColumn("place", F.row_number().over(order).cast("long"))
 
 
+def _cuts(sizes: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the first n sizes (0 <= size <= limit), and for each start the row that ends its shard (len if none)."""
+    sums = np.concatenate([[0.0], np.cumsum(sizes)])
+    ends = np.searchsorted(sums[1:], sums[:-1] + limit, "left")
+    return sums, np.maximum(ends, np.arange(len(sizes)))
+
+
+def block_rule(sizes: np.ndarray, limit: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """What a block of rows does to the size held before it: (whole, upto, shards, left).
+
+    A shard ends in the block if held + whole reaches the limit. The first of `upto` that held brings to the limit names how
+    many shards end in the block and what is held after it. Only the first shard's worth of rows can be such a first
+    end, and ends with equal outcomes are one entry, so the rule stays small however long the block is."""
+    sums, ends = _cuts(sizes, limit)
+    n = len(sizes)
+    shards, left = [0] * (n + 1), [0.0] * (n + 1)
+    for at in range(n - 1, -1, -1):
+        end = int(ends[at])
+        shards[at] = shards[end + 1] + 1 if end < n else 0
+        left[at] = left[end + 1] if end < n else float(sums[n] - sums[at])
+    upto, count, rest = [], [], []
+    for end in range(min(n, int(ends[0]) + 1) if n else 0):
+        reach = float(sums[end + 1])
+        if upto and reach == upto[-1]:
+            continue
+        if upto and (count[-1], rest[-1]) == (shards[end + 1] + 1, left[end + 1]):
+            upto[-1] = reach
+        else:
+            upto.append(reach)
+            count.append(shards[end + 1] + 1)
+            rest.append(left[end + 1])
+    return float(sums[n]), np.array(upto, np.float64), np.array(count, np.int64), np.array(rest, np.float64)
+
+
+def block_starts(rules: list[tuple[float, np.ndarray, np.ndarray, np.ndarray]], limit: float) -> list[tuple[float, int]]:
+    """(size held, shard) before each block, from the rules of all blocks in order."""
+    out, held, shard = [], 0.0, 0
+    for whole, upto, count, rest in rules:
+        out.append((held, shard))
+        first = int(np.searchsorted(upto, limit - held, "left"))
+        if first < len(upto):
+            held, shard = float(rest[first]), shard + int(count[first])
+        else:
+            held += whole
+    return out
+
+
+def block_shards(sizes: np.ndarray, limit: float, held: float, shard: int) -> np.ndarray:
+    """The shard of each row of a block that starts with this size held in this shard."""
+    sums, ends = _cuts(sizes, limit)
+    out, at = np.empty(len(sizes), np.int64), 0
+    end = int(np.searchsorted(sums[1:], limit - held, "left"))
+    while at < len(sizes):
+        out[at : end + 1] = shard
+        at, shard = end + 1, shard + 1
+        end = int(ends[at]) if at < len(sizes) else at
+    return out
+
+
 def size_shards(df: DataFrame, limit: float, key: str = "config", order: str = "pos", size: str = "size") -> DataFrame:
-    """df plus its shard: a shard ends with the row that brings it to the limit. The rule looks back to the last cut, so
-    a key's (place, size) pairs are folded in order; nothing else of its rows is gathered. Rows of one place go by size,
-    those without a place come first, and a row without a size has none."""
+    """df plus its shard: a shard ends with the row that brings it to the limit.
+
+    The rule looks back to the last cut. So a key's rows are sorted by range into blocks, a block's task tells what the
+    block does to any size held before it, these short rules are folded in order for each key, and each block then deals
+    its rows from where it starts: no task holds more of a key than a block. The sorted (key, place, size) rows are
+    written once. Rows of one place go by size, those without a place come first; a row without a size, or with one
+    below nothing, has none. Sums are exact for whole sizes, and within a block sums of others are rounded once a row."""
+    limit = max(float(limit), 0.0)
     kind, at_kind = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["no_place", "at", "nth"], ascending=[False, True, True])
-        out, held, shard = [], 0.0, 0
-        for s in pdf["size"]:
-            out.append(shard)
-            held += s
-            if held >= limit:
-                shard, held = shard + 1, 0.0
-        return pd.DataFrame({"k": pdf["k"], "at": pdf["at"], "nth": pdf["nth"], "shard_id": out})
-
-    # The number of a row among those of its place: rows of one place and size may stand for each other.
-    sized = df.withColumn("_s", F.coalesce(F.col(size).cast("double"), F.lit(0.0)))
+    # A row of more than the limit ends its shard like one of the limit. The number of a row among those of its place:
+    # rows of one place and size may stand for each other.
+    sized = df.withColumn("_s", F.least(F.greatest(F.coalesce(F.nanvl(F.col(size).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(limit)))
     sized = sized.withColumn("_n", F.row_number().over(Window.partitionBy(key, order).orderBy("_s")).cast("long"))
-    narrow = sized.select(F.col(key).alias("k"), F.col(order).alias("at"), F.col(order).isNull().alias("no_place"), F.col("_n").alias("nth"), F.col("_s").alias("size"))
-    cut = narrow.groupBy("k").applyInPandas(fold, f"k {kind}, at {at_kind}, nth long, shard_id long")
+    narrow = sized.select(F.col(key).alias("k"), F.col(order).alias("at"), F.col("_n").alias("nth"), F.col("_s").alias("size"))
+    sorted_rows = narrow.repartitionByRange("k", "at", "nth").sortWithinPartitions("k", "at", "nth")
+    # The number holds the partition above bit 33; the table is written, so it stays the same.
+    rows = materialise(sorted_rows.withColumn("row", F.monotonically_increasing_id()), "by-place")
+    rows = rows.withColumn("block", F.shiftright("row", 33))
+
+    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole, upto, count, rest = block_rule(pdf.sort_values("row")["size"].to_numpy(np.float64), limit)
+        return pd.DataFrame({"k": pdf["k"].iloc[:1].tolist(), "block": int(pdf["block"].iloc[0]), "whole": whole, "upto": [upto], "count": [count], "rest": [rest]})
+
+    def start(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        told = block_starts(list(zip(pdf["whole"], pdf["upto"], pdf["count"], pdf["rest"])), limit)
+        return pd.DataFrame({"k": pdf["k"], "block": pdf["block"], "held": [t[0] for t in told], "shard": [t[1] for t in told]})
+
+    def deal(part: pa.Table, begin: pa.Table) -> pa.Table:
+        part, begin = part.sort_by("row"), begin.slice(0, 1).to_pydict()
+        shards = block_shards(part["size"].to_numpy(), limit, begin["held"][0], begin["shard"][0])
+        return part.select(["k", "at", "nth"]).append_column("shard_id", pa.array(shards, pa.int64()))
+
+    rules = rows.select("k", "block", "row", "size").groupBy("k", "block").applyInPandas(tell, f"k {kind}, block long, whole double, upto array<double>, count array<long>, rest array<double>")
+    starts = rules.groupBy("k").applyInPandas(start, f"k {kind}, block long, held double, shard long")
+    cut = rows.groupBy("k", "block").cogroup(starts.groupBy("k", "block")).applyInArrow(deal, f"k {kind}, at {at_kind}, nth long, shard_id long")
     same = sized[key].eqNullSafe(cut["k"]) & sized[order].eqNullSafe(cut["at"]) & (sized["_n"] == cut["nth"])
     return sized.join(cut, same).select(*[sized[c] for c in df.columns], "shard_id")

@@ -238,6 +238,10 @@ add(
 )
 
 
+#: Document ids of a block of running sums.
+DROP_BLOCK = 65_536
+
+
 def _drops(s, d):
     """The first rule that fails names the reason; the budget counts survivors in input order."""
     rows = seg(s, d).withColumn("normal", X.normalize(F.col("text")))
@@ -250,9 +254,15 @@ def _drops(s, d):
         .when(X.has_digits(F.col("text")), "digits")
         .when(F.length("normal") < 4, "too-short-text")
     )
-    before = Window.partitionBy("config").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    kept = F.sum(F.when(F.col("reason").isNull(), F.col("duration")).otherwise(0.0)).over(before)
-    out = rows.withColumn("reason", reason).withColumn("before", F.coalesce(kept, F.lit(0.0)))
+    # Sums run within blocks of document ids, on top of the sums of the blocks before, so no window holds a whole config.
+    block = F.coalesce(F.floor(F.col("doc_id") / DROP_BLOCK), F.lit(-1 << 62))
+    live = F.when(reason.isNull(), F.col("duration")).otherwise(0.0)
+    rows = rows.select("config", "id", "doc_id", block.alias("block"), reason.alias("reason"), live.alias("live"))
+    rows = materialise(rows, "reasons")
+    earlier = lambda c, *keys: F.coalesce(F.sum(c).over(Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1).orderBy("block" if c == "all" else "doc_id")), F.lit(0.0))
+    sums = rows.groupBy("config", "block").agg(F.sum("live").alias("all"))
+    sums = sums.select("config", "block", earlier("all", "config").alias("base"))
+    out = rows.join(sums, ["config", "block"]).withColumn("before", F.col("base") + earlier("live", "config", "block"))
     over = F.col("reason").isNull() & (F.col("before") >= 36_000)
     return out.select("config", "id", F.when(over, "over-budget").otherwise(F.coalesce("reason", F.lit("kept"))).alias("reason"))
 

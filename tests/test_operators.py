@@ -123,6 +123,46 @@ def test_size_shards(spark):
     assert [r.shard_id for r in batching.size_shards(df, 10).orderBy("pos").collect()] == [0, 0, 1, 1, 2, 2, 2, 3]
 
 
+def plain_shards(sizes, limit):
+    out, held, shard = [], 0.0, 0
+    for s in sizes:
+        out.append(shard)
+        held += min(max(s, 0), limit)
+        if held >= limit:
+            shard, held = shard + 1, 0.0
+    return out
+
+
+def test_rules_of_blocks_tell_the_shards_of_the_plain_fold():
+    rng = random.Random(8)
+    for _ in range(400):
+        limit = rng.choice([0, 1, 7, 50, 1000])
+        blocks = [[min(rng.choice([0, 0, 1, 2, 3, 11, 60]), limit) for _ in range(rng.choice([1, 2, 9, 80]))] for _ in range(rng.randrange(1, 9))]
+        rules = [batching.block_rule(np.array(b, float), limit) for b in blocks]
+        starts = batching.block_starts(rules, limit)
+        got = [s for b, (held, shard) in zip(blocks, starts) for s in batching.block_shards(np.array(b, float), limit, held, shard).tolist()]
+        assert got == plain_shards([s for b in blocks for s in b], limit)
+    whole, upto, count, rest = batching.block_rule(np.ones(1000), 10.0)
+    assert whole == 1000 and len(upto) == 10
+
+
+def test_size_shards_of_a_key_over_many_blocks(spark):
+    rng = random.Random(2)
+    rows = [("hot" if i % 3 else None, i if i % 50 else None, rng.choice([0, 1, 4, 9, 70, None])) for i in range(3000)] + [("nan", 2**60 + i, 5) for i in range(9)]
+    df = spark.createDataFrame(rows, "config string, pos long, size long").repartition(5)
+    got = batching.size_shards(df, 40).collect()
+    for key in ("hot", None, "nan"):
+        mine = sorted((r for r in got if r.config == key), key=lambda r: (-1 if r.pos is None else r.pos, r["size"] or 0))
+        want = sorted((r for r in rows if r[0] == key), key=lambda r: (-1 if r[1] is None else r[1], r[2] or 0))
+        assert [r["size"] or 0 for r in mine] == [r[2] or 0 for r in want]
+        # Rows of one place and size are equal, so their shards are compared in order.
+        shards = plain_shards([r[2] or 0 for r in want], 40)
+        assert sorted((r.pos or -1, r["size"] or 0, r.shard_id) for r in mine) == sorted((r[1] or -1, r[2] or 0, s) for r, s in zip(want, shards))
+    odd = spark.createDataFrame([("a", 1, float("nan")), ("a", 2, -5.0), ("a", 3, float("inf")), ("a", 4, 2.0)], "config string, pos long, size double")
+    assert [r.shard_id for r in batching.size_shards(odd, 3).orderBy("pos").collect()] == [0, 0, 0, 1]
+    assert batching.size_shards(odd.limit(0), 3).count() == 0
+
+
 def test_no_row_is_lost_or_doubled_in_batches(spark):
     rows = [("a", "1", None, 1), ("a", "2", 5.0, 1), ("a", "2", 5.0, 1), (None, "3", 5.0, None), ("a", "4", 7.0, None)]
     df = spark.createDataFrame(rows, "config string, id string, duration double, pos int")

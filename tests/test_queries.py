@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from millrace.plans import corpus
 from millrace.plans.catalog import ORACLE, QUERIES
 
 SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
@@ -39,3 +40,10 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert got == sorted(repr(plain(tuple(r[i] for i in at))) for r in found.fetchall())
+
+
+def test_running_sums_do_not_depend_on_blocks(spark, monkeypatch):
+    whole = sorted(map(tuple, QUERIES["drop_reasons"](spark, SF).collect()))
+    assert {"kept", "over-budget"} <= {r[2] for r in whole}
+    monkeypatch.setattr(corpus, "DROP_BLOCK", 17)
+    assert sorted(map(tuple, QUERIES["drop_reasons"](spark, SF).collect())) == whole
