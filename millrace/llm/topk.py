@@ -141,10 +141,10 @@ _FOUND = "row long, query_id long, vec_id long, score long"
 
 def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where is_query holds, against all rows."""
-    rows = materialise(_packed(df, id_col, vector_col), "vectors")
+    # Row numbers deal repeated rows to many shards and tell repeated queries apart; the tables are written, so they stay.
+    rows = materialise(_packed(df, id_col, vector_col).withColumn("place", F.monotonically_increasing_id()), "vectors")
     shards = max(1, -(-rows.count() // SHARD_ROWS))
-    # The row number tells repeated query rows apart; the table is written, so it stays the same.
-    dealt = rows.select("*", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"))
+    dealt = rows.select("id", "dims", "v", F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard"))
     asks = dealt.withColumn(id_col, F.when(F.col("id") != _NO_ID, F.col("id"))).where(F.coalesce(is_query, F.lit(False)))
     asks = materialise(asks.select(F.monotonically_increasing_id().alias("row"), "id", "dims", "v", "shard"), "queries")
     blocks = max(1, -(-asks.count() // QUERY_ROWS))

@@ -25,6 +25,7 @@ def test_against_all_pairs(spark, monkeypatch, shard_rows):
     rows += [(600 + i, rows[20][1]) for i in range(60)]  # one very common vector
     rows += [(1000, None), (1020, [None] + [0.1] * 7), (1040, [float("nan")] + [0.1] * 7), (1060, [float("inf")] * 8), (None, [0.3] * 8)]
     rows += [(1080, [0.5, 0.25]), (1081, [0.5, -0.25]), (1100, [])]
+    rows += [rows[40]] * 70 + [rows[41]] * 200  # repeated rows, of a query and of a candidate
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int")
     got = sorted(map(tuple, T.top_k(df, F.col("vec_id") % 20 == 0, 20).collect()), key=str)
     assert got == brute(rows, 20)
@@ -48,3 +49,14 @@ def test_few_leaves_are_opened_for_clustered_vectors(monkeypatch):
     want = sorted(zip(-(x @ x[0]), range(4096)))
     assert sorted(zip(-score, ids)) == [w for w in want if w[1] != 0][:5]
     assert sum(s[1] for s in seen) < 2048
+
+
+def test_repeated_rows_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(T, "SHARD_ROWS", 100)
+    sizes = []
+    plain = T.materialise
+    monkeypatch.setattr(T, "materialise", lambda df, name: sizes.append((name, df)) or plain(df, name))
+    df = spark.createDataFrame([(20, [0.5, 0.25])] * 1500, "vec_id long, embedding array<double>")
+    assert T.top_k(df, F.col("vec_id") % 20 == 0).count() == 0
+    per = dict(sizes)["queries"].groupBy("shard").count().collect()
+    assert len(per) == 15 and max(r["count"] for r in per) < 200
