@@ -50,6 +50,11 @@ def _filesystem(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _filesystem(spark, path)
+    return fs.exists(where)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage is cut, lost executors cost nothing,
     and the planner knows the table's true size. The application's folder goes when its driver ends; discard() frees a
