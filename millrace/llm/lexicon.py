@@ -48,7 +48,7 @@ class Tally:
         self.names: dict[tuple[str, str], int] = {}
         self.counts: list[tuple[np.ndarray, ...]] = []
         self.words: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.rows = 0
+        self.rows, self.merged = 0, False
 
     def group(self, lang: str, source: str) -> int:
         return self.names.setdefault((lang, source), len(self.names))
@@ -57,25 +57,27 @@ class Tally:
         self.counts.append(counts)
         self.words.append(words)
         self.rows += len(counts[0])
+        self.merged = False
 
     def merge(self) -> None:
+        if self.merged:
+            return
         if not self.counts:
             empty = np.empty(0, np.int64)
             self.counts, self.words = [(empty.astype(np.uint64), empty, empty, empty)], [(empty.astype(np.uint64), empty, empty.astype(np.uint8))]
         key, group, n, docs = (np.concatenate(c) for c in zip(*self.counts))
-        if len(self.counts) > 1:
-            order = np.lexsort((group, key))
-            key, group = key[order], group[order]
-            begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])) if len(key) else order
-            key, group = key[begin], group[begin]
-            n, docs = (np.add.reduceat(c[order], begin) if len(begin) else c for c in (n, docs))
-            names, size, data = (np.concatenate(c) for c in zip(*self.words))
-            names, at = np.unique(names, return_index=True)
-            self.words = [(names, size[at], slices(data, (np.cumsum(size) - size)[at], size[at]))]
-        self.counts, self.rows = [(key, group, n, docs)], len(key)
+        order = np.lexsort((group, key))
+        key, group = key[order], group[order]
+        begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])) if len(key) else order
+        key, group = key[begin], group[begin]
+        n, docs = (np.add.reduceat(c[order], begin) if len(begin) else c for c in (n, docs))
+        names, size, data = (np.concatenate(c) for c in zip(*self.words))
+        names, at = np.unique(names, return_index=True)
+        self.words = [(names, size[at], slices(data, (np.cumsum(size) - size)[at], size[at]))]
+        self.counts, self.rows, self.merged = [(key, group, n, docs)], len(key), True
 
     def clear(self) -> None:
-        self.counts, self.words, self.rows = [], [], 0
+        self.counts, self.words, self.rows, self.merged = [], [], 0, False
 
     def packed(self, parts: int) -> Iterator[pa.RecordBatch]:
         """A row for each of `parts` ranges of keys that has some."""
