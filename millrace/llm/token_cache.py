@@ -10,8 +10,8 @@ drops white space between words (`blank_free`); else the text itself. Lower case
 tokenizer, since special strings within texts are found before it applies them.
 
 A null text is empty (0 tokens for a tokenizer without added ones). Repeated rows, null and repeated ids are kept, one
-result row each; other columns are ignored; an empty table gives no rows. Very long texts of a `blank_free` tokenizer
-are encoded in parts that end at a space. Two runs that append the same digest do no harm: it has one count.
+result row each; other columns are ignored; an empty table gives no rows. A `blank_free` tokenizer
+encodes words between spaces, each once as long as a task holds its count, so no text is encoded whole. Two runs that append the same digest do no harm: it has one count.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, discard, exists, materialise, shared_dir, table, text_of, tidy
 
 LIMIT = 2048
-#: Characters that are encoded at once; a `blank_free` tokenizer's longer texts are cut near there.
-CHUNK = 1 << 18
+#: Characters of texts that are encoded at once, and characters of words (50 more each) whose counts a task holds.
+CHUNK, HELD = 1 << 18, 1 << 25
 #: Missing digests up to which they are sent to the tasks that read the texts (under 200 MB in memory).
 BROADCAST_ROWS = 1_000_000
 _BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -69,44 +69,44 @@ def counter(path: str):
     return lambda texts: [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def parts(text: str, blank_free: bool, chunk: int = CHUNK) -> list[str]:
-    """The text in parts of about `chunk` characters that end at spaces, or whole."""
-    if not blank_free or len(text) <= chunk:
-        return [text]
-    out, lo = [], 0
-    while lo < len(text):
-        hi = text.find(" ", lo + chunk)
-        hi = len(text) if hi < 0 else hi
-        out.append(text[lo:hi])
-        lo = hi + 1
-    return out
+class Encoder:
+    """Numbers of tokens of texts. Where the tokenizer drops white space between words, a text's tokens are those of its
+    words between single spaces, and each word is encoded once while its count is held; special strings hold no space."""
+
+    def __init__(self, path: str, blank_free: bool, held: int = HELD) -> None:
+        self.count, self.blank_free, self.most = counter(path), blank_free, held
+        self.known: dict[str, int] = {}
+        self.size = 0
+
+    def totals(self, texts: list[str]) -> list[int]:
+        if not self.blank_free:
+            return self.count(texts)
+        words = [t.split(" ") for t in texts]
+        new = list(set().union(*words) - self.known.keys())
+        self.known.update(zip(new, self.count(new)))
+        self.size += sum(map(len, new)) + 50 * len(new)
+        out = [sum(map(self.known.__getitem__, w)) for w in words]
+        if self.size > self.most:
+            self.known, self.size = {}, 0
+        return out
 
 
 def _encoded(texts: DataFrame, path: str, blank_free: bool) -> DataFrame:
     """(digest, n_tokens) of (digest, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        encoder = Encoder(path, blank_free)
         for batch in batches:
-            totals = [0] * batch.num_rows
-            held, owners, size = [], [], 0
-
-            def flush() -> None:
-                for i, n in zip(owners, count(held)):
-                    totals[i] += n
-                held.clear()
-                owners.clear()
-
-            for i, text in enumerate(batch.column(1)):
-                for part in parts(text.as_py(), blank_free):
-                    held.append(part)
-                    owners.append(i)
-                    size += len(part)
-                    if size >= CHUNK:
-                        flush()
-                        size = 0
-            if held:
-                flush()
+            totals: list[int] = []
+            held: list[str] = []
+            size = 0
+            for text in batch.column(1):
+                held.append(text.as_py())
+                size += len(held[-1])
+                if size >= CHUNK:
+                    totals += encoder.totals(held)
+                    held, size = [], 0
+            totals += encoder.totals(held)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64())], names=["digest", "n_tokens"])
 
     return texts.select("digest", "text").mapInArrow(tidy(run), "digest binary, n_tokens long")
