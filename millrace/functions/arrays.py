@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,44 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def filter_phases(up: int, down: int, zeros: int = 8) -> list[list[float]]:
+    """Taps of the low-pass filter between rates up and down, for each phase of an output sample between two input ones:
+    a sinc of `zeros` zero crossings a side under a raised cosine, each phase's taps of sum 1."""
+    reach = zeros * max(up, down)
+    side = reach // up + 1
+    out = []
+    for phase in range(up):
+        taps = []
+        for j in range(-side, side + 1):
+            at = phase + j * up
+            x = at / max(up, down)
+            inside = abs(at) < reach
+            taps.append((math.sin(math.pi * x) / (math.pi * x) if at else 1.0) * (0.5 + 0.5 * math.cos(math.pi * at / reach)) if inside else 0.0)
+        total = sum(taps)
+        out.append([t / total for t in taps])
+    return out
+
+
+def resample(samples: Column, rate: int, wanted: int, zeros: int = 8) -> Column:
+    """Samples at `rate` as ceil(n wanted / rate) samples at `wanted`, by a polyphase filter; beyond its ends a signal is
+    silent. Equal rates leave it alone."""
+    shared = math.gcd(rate, wanted)
+    up, down = wanted // shared, rate // shared
+    if up == down:
+        return samples
+    phases = filter_phases(up, down, zeros)
+    side = len(phases[0]) // 2
+    table = F.array(*[F.array(*[F.lit(t) for t in taps]) for taps in phases])
+    size = F.ceil(F.size(samples) * up / down).cast("int")
+
+    def at(m: Column) -> Column:
+        place, phase = F.floor(m * down / up).cast("int"), (m * down % up).cast("int")
+        add = lambda total, j: total + F.coalesce(F.get(samples, place - j), F.lit(0.0)) * F.get(F.get(table, phase), j + side)
+        return F.aggregate(F.sequence(F.lit(-side), F.lit(side)), F.lit(0.0), add)
+
+    return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), at)).otherwise(F.array().cast("array<double>"))
+
+
 #: The code points that stand for words: all planes above the first, two of which no text needs.
 _FIRST_CODE, _CODES = 0x10000, 0x100000
 

@@ -2,58 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import characters
-
-
-def floor_percentile(sorted_values: Column, q: float) -> Column:
-    """The element at floor(q (n - 1)) of a sorted array; 0 if it is empty."""
-    at = F.floor(F.lit(q) * (F.size(sorted_values) - 1)).cast("int")
-    return F.when(F.size(sorted_values) == 0, F.lit(0.0)).otherwise(F.get(sorted_values, at))
-
-
-def floor_percentiles(df: DataFrame, qs: dict[str, float], key: str = "config", value: str = "duration") -> DataFrame:
-    """Exact order statistics through counts of distinct values: what is ranked is as long as the distinct values, not
-    the rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(key).orderBy(value))
-    total = F.sum("_n").over(Window.partitionBy(key))
-    ranked = counts.select(key, value, upto.alias("upto"), total.alias("total"))
-    picks = [
-        F.min(F.when(F.col("upto") > F.floor(F.lit(q) * (F.col("total") - 1)), F.col(value))).alias(name) for name, q in qs.items()
-    ]
-    return ranked.groupBy(key).agg(*picks)
-
-
-def profile(df: DataFrame) -> DataFrame:
-    """Files, segments, hours, sources and their shares, duration percentiles and raw character count of each config."""
-    sources = df.groupBy("config", "source_file").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("config").orderBy(F.desc("n"), "source_file"))
-    by_source = sources.withColumn("r", rank).groupBy("config").agg(
+from millrace.sources.interim import materialise
+from millrace.sources.scans import first_shards
+
+from .quantiles import floor_percentiles
+
+
+def profile_state(df: DataFrame, first: tuple[str, ...] = ("shard", "doc_id")) -> DataFrame:
+    """(config, kind, name, number, n, at): what a profile needs of some rows, in a form that adds up: how often each
+    source, duration, shard and character occurs, and the first text (by `first`) up to 120 characters."""
+    none = F.lit(None)
+    item = lambda kind, name=none.cast("string"), number=none.cast("double"): F.struct(F.lit(kind).alias("kind"), name.alias("name"), number.alias("number"))
+    chars = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != ""))
+    plain = F.array(item("source", F.col("source_file")), item("duration", number=F.col("duration").cast("double")), item("shard", F.col("shard").cast("string")))
+    each = df.select("config", F.inline(F.concat(plain, F.transform(chars, lambda c: item("char", c)))))
+    told = F.when(F.length("text") > 0, F.substring("text", 1, 120))
+    at = F.when(told.isNotNull(), F.struct(*first))
+    texts = df.groupBy("config").agg(F.lit("text").alias("kind"), F.min_by(told, at).alias("name"), F.min(at).alias("at")).where("name IS NOT NULL")
+    return each.groupBy("config", "kind", "name", "number").agg(F.count("*").alias("n")).unionByName(texts, allowMissingColumns=True)
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """One state of several."""
+    counts = states.where("kind <> 'text'").groupBy("config", "kind", "name", "number").agg(F.sum("n").alias("n"))
+    texts = states.where("kind = 'text'").groupBy("config", "kind").agg(F.min_by("name", "at").alias("name"), F.min("at").alias("at"))
+    return counts.unionByName(texts, allowMissingColumns=True)
+
+
+def profile_of(state: DataFrame, scales: DataFrame | None = None) -> DataFrame:
+    """The audit row of each config: files, segments, hours, sources and their shares, duration percentiles, characters,
+    its three commonest sources and its first text. state: a written profile_state; scales (config, n_files, scale): how
+    many shards there are and by what segments and hours are scaled up, where the state is of some of them."""
+    kind = lambda k: state.where(F.col("kind") == k)
+    rank = F.row_number().over(Window.partitionBy("config").orderBy(F.desc("n"), "name"))
+    common = lambda k: F.sum(F.when(F.col("r") <= k, F.col("n")).otherwise(0)) / F.sum("n")
+    best = F.sort_array(F.collect_list(F.when(F.col("r") <= 3, F.struct("r", "name"))))
+    by_source = kind("source").withColumn("r", rank).groupBy("config").agg(
+        F.sum("n").alias("n"),
         F.count("*").alias("n_sources"),
         F.max("n").alias("max_per_source"),
-        (F.sum(F.when(F.col("r") <= 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("top1_share"),
-        (F.sum(F.when(F.col("r") <= 5, F.col("n")).otherwise(0)) / F.sum("n")).alias("top5_share"),
-    )
-    medians = floor_percentiles(sources.withColumn("n", F.col("n").cast("double")), {"median_per_source": 0.5}, value="n")
-    durations = floor_percentiles(df, {"duration_p50": 0.5, "duration_p90": 0.9})
-    base = df.groupBy("config").agg(
-        F.countDistinct("shard").alias("n_files"),
-        F.count("*").alias("n_segments"),
-        (F.sum("duration") / 3600).alias("total_hours"),
-        F.max("duration").alias("duration_max"),
+        common(1).alias("top1_share"),
+        common(5).alias("top5_share"),
+        F.array_join(F.transform(best, lambda x: x["name"]), ",").alias("sample_sources"),
     )
-    out = base
-    for part in (by_source, medians, durations, charset_sizes(df)):
+    if scales is None:
+        scales = kind("shard").groupBy("config").agg(F.count("*").alias("n_files"), F.lit(1.0).alias("scale"))
+    hours = kind("duration").groupBy("config").agg((F.sum(F.col("number") * F.col("n")) / 3600).alias("hours"), F.max("number").alias("duration_max"))
+    medians = floor_percentiles(kind("source"), {"median_per_source": 0.5}, value="n")
+    durations = floor_percentiles(kind("duration"), {"duration_p50": 0.5, "duration_p90": 0.9}, value="number", times="n")
+    letters = kind("char").groupBy("config").agg(F.count("*").alias("charset_size"))
+    out = scales
+    for part in (by_source, hours, medians, durations, letters, kind("text").select("config", F.col("name").alias("sample_text"))):
         out = out.join(part, "config", "left")
-    return out
-
-
-def charset_sizes(df: DataFrame) -> DataFrame:
-    one = df.where("text <> ''").select("config", F.explode(F.array_distinct(F.filter(F.split("text", ""), lambda c: c != ""))).alias("c"))
-    return one.groupBy("config").agg(F.countDistinct("c").alias("charset_size"))
+    named = F.regexp_extract("config", "^(.*)_([a-z]{3})$", 2)
+    return out.select(
+        "config",
+        F.when(named != "", F.regexp_extract("config", "^(.*)_([a-z]{3})$", 1)).otherwise(F.col("config")).alias("language"),
+        named.alias("iso"),
+        "n_files",
+        F.floor(F.col("n") * F.col("scale")).alias("n_segments"),
+        (F.col("hours") * F.col("scale")).alias("total_hours"),
+        "n_sources", "median_per_source", "max_per_source", "top1_share", "top5_share",
+        "duration_p50", "duration_p90", "duration_max", "charset_size", "sample_sources",
+        F.coalesce("sample_text", F.lit("")).alias("sample_text"),
+    )
+
+
+def profile(df: DataFrame, most: int | None = None) -> DataFrame:
+    """The audit rows of df; with `most`, of each config's first `most` shards, scaled up to all of them."""
+    if most is None:
+        return profile_of(materialise(profile_state(df), "profile"))
+    sampled = first_shards(df, most)
+    n_files = df.groupBy("config").agg(F.countDistinct("shard").alias("n_files"))
+    scales = n_files.withColumn("scale", F.col("n_files") / F.least("n_files", F.lit(most)))
+    return profile_of(materialise(profile_state(sampled), "profile"), scales)
 
 
 def charsets(df: DataFrame, normal: str) -> DataFrame:

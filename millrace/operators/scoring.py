@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import word_edits
@@ -91,28 +89,39 @@ def matched_compare(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return a.join(b, "k").drop("k")
 
 
-def bootstrap_delta(honest: DataFrame, leaked: DataFrame, rounds: int = 2000, seed: int = 7, slots: int = 4096) -> DataFrame:
+def poisson_steps(mean: float = 1.0) -> list[int]:
+    """Where a 32-bit number passes from one count to the next under the inverse distribution of a Poisson variable."""
+    out, term, upto, k = [], math.exp(-mean), 0.0, 0
+    while True:
+        upto += term
+        step = math.floor(upto * 2**32)
+        if step >= 2**32 or (out and step == out[-1]):
+            return out
+        out.append(step)
+        k += 1
+        term *= mean / k
+
+
+def bootstrap_delta(honest: DataFrame, leaked: DataFrame, rounds: int = 2000, seed: int = 7, row: tuple[str, ...] = ("conv_id", "turn")) -> DataFrame:
     """(mean, low, high) of the difference of two pooled rates, whole utterances resampled, sides independent.
 
-    Each utterance is drawn Poisson(1) times in every round, which needs no row to be gathered: tasks sum errors and
-    words of their rows for every round, and only (round, side) sums are shuffled."""
-
-    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, rounds, 2))
-        for pdf in parts:
-            for side, errors, total, key in zip(pdf["side"], pdf["word_errors"], pdf["words"], pdf["key"]):
-                times = np.random.default_rng((seed, int(key) & (2**63 - 1), int(side))).poisson(1.0, rounds)
-                sums[int(side), :, 0] += times * errors
-                sums[int(side), :, 1] += times * total
-        at = np.arange(rounds)
-        yield pd.DataFrame(
-            {"round": np.tile(at, 2), "side": np.repeat([0, 1], rounds), "errors": sums[:, :, 0].ravel(), "words": sums[:, :, 1].ravel()}
-        )
-
-    tagged = lambda df, side: df.select(F.lit(side).alias("side"), "word_errors", "words", F.xxhash64("reference", "hypothesis", "config").alias("key"))
-    both = tagged(honest, 0).unionByName(tagged(leaked, 1))
-    parts = both.mapInPandas(draw, "round int, side int, errors double, words double")
-    rates = parts.groupBy("round", "side").agg(F.sum("errors").alias("e"), F.sum("words").alias("w"))
-    rates = rates.withColumn("rate", F.when(F.col("w") > 0, F.col("e") / F.col("w")).otherwise(0.0))
-    delta = rates.groupBy("round").agg(F.sum(F.when(F.col("side") == 0, F.col("rate")).otherwise(-F.col("rate"))).alias("d"))
+    Each utterance is drawn Poisson(1) times in every round, which needs no row to be gathered. A draw is a function of
+    seed, side, round and the row's key (columns `row`; rows of one key are numbered), so any engine repeats it. An md5
+    gives four draws of 32 bits. Tasks sum their rows for every round, and only sums of (four rounds, side) move."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row])
+    nth = F.row_number().over(Window.partitionBy("side", "key").orderBy("word_errors", "words"))
+    tagged = lambda df, side: df.select(F.lit(side).alias("side"), key.alias("key"), "word_errors", "words")
+    both = tagged(honest, 0).unionByName(tagged(leaked, 1)).withColumn("nth", nth)
+    four = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // 4) - 1))).alias("four"))
+    four = four.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "side", "four", "key", "nth").cast("binary")))
+    sums = []
+    for j in range(4):
+        number = F.conv(F.substring("h", 8 * j + 1, 8), 16, 10).cast("long")
+        times = sum((number >= step).cast("long") for step in poisson_steps())
+        sums.append(F.struct(F.lit(j).alias("j"), F.sum(times * F.col("word_errors")).alias("e"), F.sum(times * F.col("words")).alias("w")))
+    parts = four.groupBy("four", "side").agg(F.array(*sums).alias("s")).select("four", "side", F.inline("s"))
+    rates = parts.select((F.col("four") * 4 + F.col("j")).alias("round"), "side", F.when(F.col("w") > 0, F.col("e") / F.col("w")).otherwise(0.0).alias("rate"))
+    signed = F.when(F.col("side") == 0, F.col("rate")).otherwise(-F.col("rate"))
+    delta = rates.where(F.col("round") < rounds).groupBy("round").agg(F.sum(signed).alias("d"))
+    # One row a round: the percentile's map holds `rounds` values.
     return delta.agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))

@@ -16,27 +16,48 @@ def l2_normalize(df: DataFrame, column: str = "vector", least: float = 1e-6) ->
     return kept.withColumn(column, F.transform(column, lambda x: x / F.col("_n"))).drop("_n")
 
 
-def similarity_pairs(df: DataFrame, rows_per_block: int = 512) -> DataFrame:
-    """(a, b, book_a, book_b, cosine) of all pairs a < b of one partition's clips.
-
-    Clips are dealt to blocks; a pair of blocks meets in one equi-join key and is one matrix product, so that no side is
-    broadcast and every task holds two blocks. Each pair of clips meets once. Clips without an id or a length, or with
-    vectors of different sizes, meet nothing."""
+def _meetings(df: DataFrame, rows_per_block: int, by_book: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(left, right, keys): clips dealt to blocks; each pair of blocks meets in one equi-join key, so that no side is
+    broadcast and every task holds two blocks. By book, blocks are those of a book and only they meet. Clips without an
+    id or a length meet nothing, nor do vectors of different sizes."""
+    held = ("vec_id", "book", "vector", "n")
     lengthy = df.select("vec_id", "book", "vector", F.size("vector").alias("dims"), norm(F.col("vector")).alias("n"))
     lengthy = lengthy.where("n > 1e-6 AND vec_id IS NOT NULL")
-    blocks = max(1, -(-df.count() // rows_per_block))
-    dealt = lengthy.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    keys = ["dims", "i", "j"]
+    if by_book:
+        lengthy = lengthy.where("book IS NOT NULL").withColumn("of", F.col("book"))
+        sizes = df.where("book IS NOT NULL").groupBy(F.col("book").alias("of")).agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("blocks"))
+        dealt, keys = lengthy.join(sizes, "of"), ["of", *keys]
+    else:
+        dealt = lengthy.withColumn("blocks", F.lit(max(1, -(-df.count() // rows_per_block))))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    fresh = lambda: dealt.select([F.col(c).alias(c) for c in dealt.columns])
+    left = fresh().withColumn("i", F.col("block")).withColumn("j", F.explode(F.filter(every, lambda j: j >= F.col("block"))))
+    right = fresh().withColumn("j", F.col("block")).withColumn("i", F.explode(F.filter(every, lambda i: i <= F.col("block"))))
+    return left.select(*keys, *held), right.select(*keys, *held), keys
+
+
+def _cosines(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(cosines of two blocks, which of them count: within a block each pair occurs twice, across blocks once)."""
+    x, y = (np.array(side["vector"].tolist(), float) for side in (left, right))
+    cosine = x @ y.T / (left["n"].to_numpy()[:, None] * right["n"].to_numpy()[None])
+    if left["i"].iloc[0] == right["j"].iloc[0]:
+        return cosine, left["vec_id"].to_numpy()[:, None] < right["vec_id"].to_numpy()[None]
+    return cosine, np.ones(cosine.shape, bool)
+
+
+def similarity_pairs(df: DataFrame, rows_per_block: int = 512) -> DataFrame:
+    """(a, b, book_a, book_b, cosine) of all pairs a < b of one partition's clips; each pair of clips meets once."""
+    left, right, keys = _meetings(df, rows_per_block)
     ids, books = (df.schema[c].dataType.simpleString() for c in ("vec_id", "book"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({c: pd.Series([], dtype=k) for c, k in zip(("a", "b", "book_a", "book_b", "cosine"), ("int64", "int64", object, object, "float64"))})
-        x, y = (np.array(side["vector"].tolist(), float) for side in (left, right))
-        cosine = x @ y.T / (left["n"].to_numpy()[:, None] * right["n"].to_numpy()[None])
+        cosine, counts = _cosines(left, right)
         first, second = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        same = left["i"].iloc[0] == right["j"].iloc[0]
-        # Within a block both orders of a pair occur; across blocks each pair occurs once, in either order.
-        i, j = np.nonzero(first[:, None] < second[None]) if same else (k.reshape(-1) for k in np.indices(cosine.shape))
+        i, j = np.nonzero(counts)
         ordered = first[i] < second[j]
         a, b = left["book"].to_numpy()[i], right["book"].to_numpy()[j]
         return pd.DataFrame({
@@ -45,26 +66,118 @@ def similarity_pairs(df: DataFrame, rows_per_block: int = 512) -> DataFrame:
             "cosine": cosine[i, j],
         })
 
-    all_blocks = F.sequence(F.lit(0), F.lit(blocks - 1))
-    held = ("vec_id", "book", "vector", "n")
-    fresh = lambda: dealt.select("block", *[F.col(c).alias(c) for c in ("dims", *held)])
-    left = fresh().select("dims", F.col("block").alias("i"), F.explode(F.filter(all_blocks, lambda j: j >= F.col("block"))).alias("j"), *held)
-    right = fresh().select("dims", F.explode(F.filter(all_blocks, lambda i: i <= F.col("block"))).alias("i"), F.col("block").alias("j"), *held)
-    keys = ("dims", "i", "j")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"a {ids}, b {ids}, book_a {books}, book_b {books}, cosine double")
 
 
-def similarity_stats(pairs: DataFrame) -> DataFrame:
-    """Ordered pairs, mean and 5th percentile of similarities within a book and across books."""
-    kind = F.when(F.col("book_a") == F.col("book_b"), "within").otherwise("across")
-    return pairs.groupBy(kind.alias("kind")).agg(
-        (F.count("*") * 2).alias("n"), F.round(F.avg("cosine"), 6).alias("mean"), F.round(F.percentile("cosine", F.lit(0.05)), 6).alias("p5")
-    )
+#: Bins of a round, values that are gathered once a bin holds no more, and clips of a block.
+BINS, SMALL, BLOCK = 2048, 4096, 1024
+_PART = "target int, bin int, value double, n long, total double, low double, high double"
+
+
+def _inside(values: np.ndarray, chain: list[tuple[float, float, int]], bins: int) -> np.ndarray:
+    """The values that fell into each chosen bin (low, high, bin) of the rounds so far."""
+    for low, high, chosen in chain:
+        values = values[np.clip((values - low) / (high - low) * bins, 0, bins - 1).astype(np.int64) == chosen]
+    return values
+
 
+def _sifted(df: DataFrame, targets: list[tuple[str, list, bool]], bins: int, rows_per_block: int, by_book: bool) -> DataFrame:
+    """Counts of the cosines of all pairs, without pair rows: for each target (kind, chain, whether values are wanted) a
+    row of bin -1 with number, sum, least and largest of the values that its chain leaves, and a row for each bin of
+    the next round or for each distinct value."""
+    left, right, keys = _meetings(df, rows_per_block, by_book)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            cosine, counts = _cosines(left, right)
+            a, b = left["book"].to_numpy(object), right["book"].to_numpy(object)
+            codes = {x: i for i, x in enumerate({*a, *b} - {None})}
+            a, b = (np.array([codes.get(x, -1) for x in side]) for side in (a, b))
+            same = (a[:, None] == b[None]) & (a[:, None] >= 0)
+            parts = {"within": cosine[counts & same], "across": cosine[counts & ~same]}
+            for t, (kind, chain, listed) in enumerate(targets):
+                values = _inside(parts[kind], chain, bins)
+                if len(values):
+                    out.append((t, -1, None, len(values), values.sum(), values.min(), values.max()))
+                    if listed:
+                        out += [(t, 0, v, n, 0.0, None, None) for v, n in zip(*np.unique(values, return_counts=True))]
+                    else:
+                        low, high = _range(chain, bins)
+                        n = np.bincount(np.clip((values - low) / (high - low) * bins, 0, bins - 1).astype(np.int64), minlength=bins)
+                        out += [(t, i, None, n[i], 0.0, None, None) for i in np.flatnonzero(n)]
+        return pd.DataFrame(out, columns=["target", "bin", "value", "n", "total", "low", "high"])
+
+    told = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, _PART)
+    sums = [F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high")]
+    return told.groupBy("target", "bin", "value").agg(*sums)
+
+
+def _range(chain: list[tuple[float, float, int]], bins: int) -> tuple[float, float]:
+    """The stretch that the next round cuts into bins."""
+    if not chain:
+        return -1.0 - 1e-9, 1.0 + 1e-9
+    low, high, chosen = chain[-1]
+    return low + (high - low) * chosen / bins, low + (high - low) * (chosen + 1) / bins
+
+
+def _selected(df: DataFrame, kinds: list[str], q: float, by_book: bool, bins: int, small: int, rows_per_block: int) -> dict[str, tuple[int, float, float]]:
+    """kind -> (pairs, mean of the cosines, their q-quantile with interpolation), exact, by rounds of histograms of at most
+    `bins` rows for each wanted rank."""
+    sizes: dict[str, tuple[int, float]] = {}
+    todo: list[tuple[str, int, int, list]] = [(k, -1, 0, []) for k in kinds]  # kind, rank (not known at first), values below, chain
+    ranked: dict[tuple[str, int], float] = {}
+    listed: list[bool] = [False] * len(todo)
+    while todo:
+        targets = [(kind, chain, whole) for (kind, _, _, chain), whole in zip(todo, listed)]
+        rows: dict[int, list] = {}
+        for r in _sifted(df, targets, bins, rows_per_block, by_book).collect():
+            rows.setdefault(r["target"], []).append(r)
+        after, lists = [], []
+        for t, (kind, rank, below, chain) in enumerate(todo):
+            if t not in rows:
+                continue
+            head = next(r for r in rows[t] if r["bin"] < 0)
+            if kind not in sizes:
+                sizes[kind] = head["n"], head["total"] / head["n"]
+            wanted = [rank] if rank >= 0 else sorted({int(np.floor(q * (head["n"] - 1))), int(np.ceil(q * (head["n"] - 1)))})
+            for place in wanted:
+                if head["low"] == head["high"]:
+                    ranked[kind, place] = head["low"]
+                    continue
+                seen = below
+                for r in sorted((r for r in rows[t] if r["bin"] >= 0), key=lambda r: (r["bin"], r["value"] or 0.0)):
+                    if place < seen + r["n"]:
+                        break
+                    seen += r["n"]
+                if listed[t]:
+                    ranked[kind, place] = r["value"]
+                else:
+                    after.append((kind, place, seen, [*chain, (*_range(chain, bins), r["bin"])]))
+                    # After five rounds a bin is as narrow as two neighbouring numbers and has few distinct values.
+                    lists.append(r["n"] <= small or len(chain) >= 4)
+        todo, listed = after, lists
+    out = {}
+    for kind, (n, mean) in sizes.items():
+        at = q * (n - 1)
+        low, high = ranked[kind, int(np.floor(at))], ranked[kind, int(np.ceil(at))]
+        out[kind] = n, mean, low + (high - low) * (at - np.floor(at))
+    return out
 
-def auto_threshold(pairs: DataFrame) -> DataFrame:
-    within = pairs.where("book_a = book_b")
-    return within.agg(F.round(1 - F.percentile("cosine", F.lit(0.05)), 6).alias("threshold"))
+
+def similarity_stats(df: DataFrame, q: float = 0.05, bins: int = BINS, small: int = SMALL, rows_per_block: int = BLOCK) -> DataFrame:
+    """(kind, n, mean, p5): ordered pairs, mean and 5th percentile of similarities within a book and across books. Pairs
+    are counted where they arise: no row for a pair is made or moved."""
+    found = _selected(df, ["within", "across"], q, False, bins, small, rows_per_block)
+    rows = [(kind, 2 * n, round(float(mean), 6), round(float(p), 6)) for kind, (n, mean, p) in found.items()]
+    return df.sparkSession.createDataFrame(rows, "kind string, n long, mean double, p5 double")
+
+
+def auto_threshold(df: DataFrame, q: float = 0.05, bins: int = BINS, small: int = SMALL, rows_per_block: int = BLOCK) -> DataFrame:
+    """One less the 5th percentile of similarities within a book; null without such pairs."""
+    found = _selected(df, ["within"], q, True, bins, small, rows_per_block)
+    told = round(float(1 - found["within"][2]), 6) if found else None
+    return df.sparkSession.createDataFrame([(told,)], "threshold double")
 
 
 def standardize(df: DataFrame, column: str = "vector") -> DataFrame:
@@ -75,28 +188,52 @@ def standardize(df: DataFrame, column: str = "vector") -> DataFrame:
 
 
 def upgma(x: np.ndarray, threshold: float) -> np.ndarray:
-    """Average-linkage clusters by cosine distance, merged while the closest two are at most the threshold apart."""
+    """Average-linkage clusters by cosine distance, of merges nearer than the threshold, numbered by their first member.
+
+    A chain of nearest neighbours ends where two are each other's nearest; those merge. For average linkage this gives
+    the merges of the closest-first rule in time n^2, in another order, so that the threshold is applied at the end."""
+    n = len(x)
     unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
     distance = 1 - unit @ unit.T
     np.fill_diagonal(distance, np.inf)
-    label, size, alive = np.arange(len(x)), np.ones(len(x)), list(range(len(x)))
-    while len(alive) > 1:
-        sub = distance[np.ix_(alive, alive)]
-        k = int(sub.argmin())
-        a, b = alive[k // len(alive)], alive[k % len(alive)]
-        if distance[a, b] > threshold:
-            break
+    size, alive, root = np.ones(n), np.ones(n, bool), np.arange(n)
+    chain: list[int] = []
+    left = n
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    while left > 1:
+        if not chain:
+            chain.append(int(alive.argmax()))
+        a = chain[-1]
+        b = int(distance[a].argmin())
+        if len(chain) > 1 and distance[a, chain[-2]] <= distance[a, b]:
+            b = chain[-2]
+        if len(chain) < 2 or b != chain[-2]:
+            chain.append(b)
+            continue
+        del chain[-2:]
+        if distance[a, b] < threshold:
+            a_root, b_root = sorted((find(a), find(b)))
+            root[b_root] = a_root
+        keep, gone = sorted((a, b))
         merged = (size[a] * distance[a] + size[b] * distance[b]) / (size[a] + size[b])
-        distance[a], distance[:, a] = merged, merged
-        distance[a, a] = np.inf
-        size[a] += size[b]
-        label[label == b] = a
-        alive.remove(b)
-    return np.unique(label, return_inverse=True)[1]
+        merged[[keep, gone]] = np.inf
+        distance[keep], distance[:, keep] = merged, merged
+        distance[gone], distance[:, gone] = np.inf, np.inf
+        size[keep] += size[gone]
+        alive[gone] = False
+        left -= 1
+    return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
 def cluster_clips(df: DataFrame, threshold: float, key: str = "config") -> DataFrame:
-    """(key, vec_id, cluster): clusters of the few clips (a hundred or so) that each partition was sampled to."""
+    """(key, vec_id, cluster): clusters of the clips that each partition was sampled to. A key's clips meet in one task,
+    in a matrix of their number squared: 5,000 take 200 MB."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")

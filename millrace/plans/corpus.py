@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from millrace.functions import parse as P
 from millrace.functions import text as X
-from millrace.operators import batching, dedupe, mixture, profile, splits, stages, testset
+from millrace.operators import batching, dedupe, mixture, profile, quantiles, splits, stages, testset
 from millrace.operators.splits import SEED
-from millrace.sources import fixtures, scans
+from millrace.sources import fixtures, lookup, packs, scans
 from millrace.sources.fixtures import BIG_ORDER
 from millrace.sources.interim import materialise
+from millrace.streaming import ingest
 
 from .base import add, norm, split_ctes, trainable
 from .texts import RUNS
@@ -68,16 +69,68 @@ add(
     "SELECT DISTINCT o_orderkey || '.1' AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey || '.1' NOT IN (SELECT id FROM big)",
     ("big",),
 )
+#: Ids of the pruned lookup: few orders of many.
+_RARE = "o_totalprice > (SELECT max(o_totalprice) * 0.97 FROM orders)"
+
+
+def _pruned(s, d):
+    orders = fixtures.read(s, d, "orders")
+    top = orders.agg((F.max("o_totalprice") * 0.97).alias("least"))
+    ids = orders.join(top, F.col("o_totalprice") > F.col("least")).select(F.concat("o_orderkey", F.lit(".1")).alias("id"))
+    path = lookup.scratch(s, "by-id")
+    lookup.write_by_id(big(s, d), path)
+    return lookup.lookup_by_id(s, path, ids, columns=["config", "duration", "shard"]).select("config", "id", "duration", "shard")
+
+
+add("lookup_pruned", _pruned, f"SELECT config, id, duration, shard FROM big WHERE id IN (SELECT o_orderkey || '.1' FROM orders WHERE {_RARE})", ("big",))
+
+
+def _search(s, d):
+    """AF: ids of the two hinted shards alone; NF: ids of any shard, no hint; RF: also ids that no shard holds."""
+    rows, path = big(s, d), lookup.scratch(s, "shards")
+    lookup.write_shards_apart(rows, path)
+    tenth = F.col("l_partkey") % 10 == 3
+    wanted = rows.where("config = 'AF' AND shard IN (9, 12) OR config = 'NF' AND l_partkey % 10 = 3").select("config", "id")
+    some = rows.where((F.col("config") == "RF") & tenth)
+    wanted = wanted.unionByName(some.select("config", "id")).unionByName(some.select("config", F.concat(F.lit("x"), "id").alias("id")))
+    hints = s.createDataFrame([("AF", 9), ("AF", 12)], "config string, shard int")
+    out = lookup.find_in_waves(s, path, wanted, hints, 2, tuple(BIG_ORDER))
+    none = F.lit(None)
+    return (
+        out.found.select(F.lit("found").alias("status"), "config", "id", "shard", none.cast("int").alias("wave"))
+        .unionByName(out.missing.select(F.lit("missing").alias("status"), "config", "id", none.cast("int").alias("shard"), none.cast("int").alias("wave")))
+        .unionByName(out.read.select(F.lit("read").alias("status"), "config", none.cast("string").alias("id"), "shard", "wave"))
+    )
+
+
+add(
+    "lookup_in_waves",
+    _search,
+    """wanted AS (SELECT DISTINCT config, id FROM big WHERE config = 'AF' AND shard IN (9, 12) OR config IN ('NF', 'RF') AND l_partkey % 10 = 3
+      UNION SELECT config, 'x' || id FROM big WHERE config = 'RF' AND l_partkey % 10 = 3),
+    placed AS (SELECT config, shard, CAST(floor(log2(place / 2 + 1)) AS INTEGER) AS wave, place FROM (
+      SELECT config, shard, row_number() OVER (PARTITION BY config ORDER BY CASE WHEN config = 'AF' AND shard IN (9, 12) THEN 0 ELSE 1 END, shard) - 1 AS place
+      FROM (SELECT DISTINCT config, shard FROM big))),
+    first AS (SELECT w.config, w.id, min_by(p.shard, p.place) AS shard, min(p.wave) AS wave FROM wanted w LEFT JOIN big b ON b.config = w.config AND b.id = w.id
+      LEFT JOIN placed p ON p.config = b.config AND p.shard = b.shard GROUP BY 1, 2),
+    reach AS (SELECT config, CASE WHEN count(*) = count(wave) THEN max(wave) ELSE 1000 END AS upto FROM first GROUP BY config)
+    SELECT CASE WHEN shard IS NULL THEN 'missing' ELSE 'found' END AS status, config, id, shard, CAST(NULL AS INTEGER) AS wave FROM first
+    UNION ALL SELECT 'read', p.config, NULL, shard, wave FROM placed p JOIN reach r ON r.config = p.config AND p.wave <= r.upto""",
+    ("big",),
+)
 add(
     "to_schema",
     lambda s, d: scans.to_schema(seg(s, d).drop("book").withColumn("audio", F.struct(F.encode("id", "utf-8").alias("bytes"), F.lit("x").alias("path")))).withColumn("audio", F.decode("audio", "utf-8")),
     "SELECT config, id, coalesce(text, '') AS text, CAST(duration AS FLOAT) AS duration, source_file, book, id AS audio FROM segments",
     ("segments",),
 )
+_REQUIRED = ["id", "language", "text", "duration", "source_file", "audio"]
 add(
     "schema_check",
-    lambda s, d: scans.missing_columns(seg(s, d), ["id", "language", "text", "duration", "source_file", "audio"]),
-    "SELECT * FROM (VALUES ('id', 'ok'), ('language', 'FAIL'), ('text', 'ok'), ('duration', 'ok'), ('source_file', 'ok'), ('audio', 'FAIL')) t(\"column\", status)",
+    lambda s, d: scans.missing_columns(seg(s, d), _REQUIRED),
+    "SELECT \"column\", status, n FROM (SELECT count(id) AS i, count(text) AS t, count(duration) AS d, count(source_file) AS f FROM segments), "
+    "LATERAL (VALUES ('id', 'ok', i), ('language', 'FAIL', 0), ('text', 'ok', t), ('duration', 'ok', d), ('source_file', 'ok', f), ('audio', 'FAIL', 0)) v(\"column\", status, n)",
+    ("segments",),
 )
 add(
     "artifact_check",
@@ -136,29 +189,52 @@ add(
     ("segments",),
 )
 
-add(
-    "profile_by_config",
-    lambda s, d: profile.profile(seg(s, d)),
-    """src AS (SELECT config, source_file, count(*) AS n FROM segments GROUP BY 1, 2),
+def _profile_sql(most: str) -> str:
+    """The audit row in SQL; `most` limits the shards."""
+    return f"""o AS (SELECT config, shard, row_number() OVER (PARTITION BY config ORDER BY shard) AS r, count(*) OVER (PARTITION BY config) AS n FROM (SELECT DISTINCT config, shard FROM segments)),
+    scale AS (SELECT config, CAST(count(*) AS DOUBLE) / count(*) FILTER (WHERE r <= {most}) AS scale, count(*) AS n_files FROM o GROUP BY config),
+    seg AS (SELECT s.* FROM segments s JOIN o ON o.config = s.config AND o.shard = s.shard WHERE r <= {most}),
+    src AS (SELECT config, source_file, count(*) AS n FROM seg GROUP BY 1, 2),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY n DESC, source_file) AS r FROM src),
     a AS (SELECT config, count(*) AS n_sources, max(n) AS max_per_source, sum(n) FILTER (WHERE r <= 1) / sum(n) AS top1_share, sum(n) FILTER (WHERE r <= 5) / sum(n) AS top5_share,
+      string_agg(source_file, ',' ORDER BY r) FILTER (WHERE r <= 3) AS sample_sources,
       CAST(list_sort(list(n))[CAST(floor(0.5 * (count(*) - 1)) AS BIGINT) + 1] AS DOUBLE) AS median_per_source FROM ranked GROUP BY config),
-    b AS (SELECT config, count(DISTINCT shard) AS n_files, count(*) AS n_segments, sum(duration) / 3600 AS total_hours, max(duration) AS duration_max,
+    b AS (SELECT config, count(*) AS n, sum(duration) / 3600 AS hours, max(duration) AS duration_max,
       list_sort(list(duration))[CAST(floor(CAST(0.5 AS DOUBLE) * (count(*) - 1)) AS BIGINT) + 1] AS duration_p50,
-      list_sort(list(duration))[CAST(floor(CAST(0.9 AS DOUBLE) * (count(*) - 1)) AS BIGINT) + 1] AS duration_p90 FROM segments GROUP BY config),
-    c AS (SELECT config, count(DISTINCT c) AS charset_size FROM (SELECT config, unnest(string_split(text, '')) AS c FROM segments WHERE text <> '') WHERE c <> '' GROUP BY config)
-    SELECT b.*, a.* EXCLUDE (config), charset_size FROM b JOIN a USING (config) LEFT JOIN c USING (config)""",
-    ("segments",),
-)
+      list_sort(list(duration))[CAST(floor(CAST(0.9 AS DOUBLE) * (count(*) - 1)) AS BIGINT) + 1] AS duration_p90,
+      coalesce(first(CASE WHEN text <> '' THEN left(text, 120) END ORDER BY CASE WHEN text <> '' THEN 0 ELSE 1 END, shard, doc_id), '') AS sample_text FROM seg GROUP BY config),
+    c AS (SELECT config, count(DISTINCT c) AS charset_size FROM (SELECT config, unnest(string_split(text, '')) AS c FROM seg WHERE text <> '') WHERE c <> '' GROUP BY config)
+    SELECT b.config, regexp_extract(b.config, '^(.*)_([a-z]{{3}})$', 1) AS language, regexp_extract(b.config, '^(.*)_([a-z]{{3}})$', 2) AS iso, n_files, CAST(floor(n * scale) AS BIGINT) AS n_segments,
+      hours * scale AS total_hours, a.* EXCLUDE (config), duration_p50, duration_p90, duration_max, charset_size, sample_text
+    FROM b JOIN scale USING (config) JOIN a USING (config) LEFT JOIN c USING (config)"""
+
+
+add("profile_by_config", lambda s, d: profile.profile(seg(s, d)), _profile_sql("1000000"), ("segments",))
+
+
+
+def _streamed(s, d):
+    """Segments that arrive as files in two parts; a file counts once two looks have told the same size."""
+    rows, root = seg(s, d), lookup.scratch(s, "stream")
+    stream = ingest.ProfileStream(s, f"{root}/files", root, rows.schema)
+    for part in ("shard < 5", "shard >= 5"):
+        rows.where(part).repartition(2, "shard").write.mode("append").parquet(f"{root}/files")
+        stream.step()
+        stream.step()
+    return profile.profile_of(stream.state())
+
+
+add("profile_streamed", _streamed, _profile_sql("1000000"), ("segments",))
+add("profile_sampled", lambda s, d: profile.profile(seg(s, d), 3), _profile_sql("3"), ("segments",))
 add(
     "percentile_floor",
-    lambda s, d: profile.floor_percentiles(big(s, d), {"p50": 0.5, "p90": 0.9, "p99": 0.99}),
+    lambda s, d: quantiles.floor_percentiles(big(s, d), {"p50": 0.5, "p90": 0.9, "p99": 0.99}),
     "SELECT config, " + ", ".join(f"list_sort(list(duration))[CAST(floor(CAST({q} AS DOUBLE) * (count(*) - 1)) AS BIGINT) + 1] AS {n}" for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))) + " FROM big GROUP BY config",
     ("big",),
 )
 add(
     "percentile_linear",
-    lambda s, d: big(s, d).groupBy("config").agg(*[F.round(F.percentile("duration", F.lit(q)), 9).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p975", 0.975))]),
+    lambda s, d: quantiles.linear_percentiles(big(s, d), {"p05": 0.05, "p50": 0.5, "p975": 0.975}).select("config", *[F.round(n, 9).alias(n) for n in ("p05", "p50", "p975")]),
     "SELECT config, " + ", ".join(f"round(quantile_cont(duration, {q}), 9) AS {n}" for n, q in (("p05", 0.05), ("p50", 0.5), ("p975", 0.975))) + " FROM big GROUP BY config",
     ("big",),
 )
@@ -396,3 +472,28 @@ add(
     SELECT config, id, size, shard_id FROM cut WHERE rn > 0""",
     ("segments",),
 )
+
+
+def _packed(s, d):
+    """Segments packed by language; what the files' names and footers tell."""
+    path = lookup.scratch(s, "packs")
+    rows = seg(s, d).select("config", "doc_id", "id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("audio"))
+    packs.pack(rows, path, "audio", "config", "doc_id", 0.1, 0.02, {"features": '{"audio": "binary"}'})
+    told = packs.footers(s, path)
+    return told.select("file", "n_rows", "n_groups", "group_rows", F.get_json_object("footer", "$.features").alias("features"))
+
+
+add(
+    "packed_shards",
+    _packed,
+    """o AS (SELECT config, strlen(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY config ORDER BY doc_id) AS rn FROM segments),
+    cut AS (
+      SELECT DISTINCT config, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS nxt FROM o
+      UNION ALL
+      SELECT o.config, o.size, o.rn, c.nxt, CASE WHEN c.held + o.size >= 100000 THEN 0 ELSE c.held + o.size END, c.nxt + CASE WHEN c.held + o.size >= 100000 THEN 1 ELSE 0 END
+      FROM cut c JOIN o ON o.config = c.config AND o.rn = c.rn + 1),
+    shards AS (SELECT config, shard, count(*) AS n, greatest(CAST(floor(20000 / greatest(avg(size), 1)) AS BIGINT), 1) AS g FROM cut WHERE rn > 0 GROUP BY 1, 2)
+    SELECT printf('%s-%05d-of-%05d.parquet', config, shard, count(*) OVER (PARTITION BY config)) AS file, n AS n_rows, CAST(ceil(n / g) AS BIGINT) AS n_groups, least(n, g) AS group_rows,
+      '{"audio": "binary"}' AS features FROM shards""",
+    ("segments",),
+)

@@ -70,12 +70,11 @@ add(
     FROM side a JOIN side b ON a.config = b.config AND a.k = 0 AND b.k = 1""",
     ("pairs",),
 )
-_CIS = [("a", -0.4, 0.1), ("b", 0.2, 0.9), ("c", -1.9, -0.3), ("d", 0.0, 0.0)]
 add(
     "leak_verdict",
-    lambda s, d: s.createDataFrame(_CIS, "name string, low double, high double").select("name", scoring.verdict(F.col("low"), F.col("high")).alias("verdict")),
-    "SELECT name, CASE WHEN low <= 0 AND high >= 0 THEN 'spans zero' WHEN low > 0 THEN 'leakage helps' ELSE 'leakage hurts' END AS verdict FROM (VALUES "
-    + ", ".join(f"('{n}', {a}, {b})" for n, a, b in _CIS) + ") t(name, low, high)",
+    lambda s, d: fixtures.read(s, d, "supplier").select("s_suppkey", scoring.verdict(F.col("s_acctbal") - 500, F.col("s_acctbal") + F.col("s_nationkey") * 100).alias("verdict")),
+    """SELECT s_suppkey, CASE WHEN s_acctbal - 500 <= 0 AND s_acctbal + s_nationkey * 100 >= 0 THEN 'spans zero' WHEN s_acctbal - 500 > 0 THEN 'leakage helps' ELSE 'leakage hurts' END AS verdict
+    FROM supplier""",
 )
 add(
     "matched_compare",
@@ -90,7 +89,20 @@ add(
     "SELECT DISTINCT config FROM pairs WHERE config NOT IN (SELECT config FROM pairs WHERE config <> 'system')",
     ("pairs",),
 )
-add("bootstrap_delta", lambda s, d: (lambda e: scoring.bootstrap_delta(e.where("conv_id % 2 = 0"), e.where("conv_id % 2 = 1"), 500))(_errors(s, d)))
+_ROUNDS = 500
+_TIMES = " + ".join(f"CAST(u >= {step} AS BIGINT)" for step in scoring.poisson_steps())
+add(
+    "bootstrap_delta",
+    lambda s, d: (lambda e: scoring.bootstrap_delta(e.where("conv_id % 2 = 0"), e.where("conv_id % 2 = 1"), _ROUNDS))(_errors(s, d)).select(*[F.round(c, 9).alias(c) for c in ("mean", "low", "high")]),
+    f"""{_ERRORS}, tagged AS (SELECT conv_id % 2 AS side, conv_id || ':' || turn AS key, word_errors AS e, words AS w FROM errors),
+    nth AS (SELECT *, row_number() OVER (PARTITION BY side, key ORDER BY e, w) AS nth FROM tagged),
+    drawn AS (SELECT four * 4 + j AS round, side, e, w, CAST('0x' || substr(md5('7:' || side || ':' || four || ':' || key || ':' || nth), CAST(8 * j + 1 AS BIGINT), 8) AS UBIGINT) AS u
+      FROM nth, range({-(-_ROUNDS // 4)}) f(four), range(4) j(j)),
+    sums AS (SELECT round, side, sum(e * ({_TIMES})) AS e, sum(w * ({_TIMES})) AS w FROM drawn WHERE round < {_ROUNDS} GROUP BY round, side),
+    deltas AS (SELECT round, sum((1 - 2 * side) * CASE WHEN w > 0 THEN CAST(e AS DOUBLE) / CAST(w AS DOUBLE) ELSE 0 END) AS d FROM sums GROUP BY round)
+    SELECT round(avg(d), 9) AS mean, round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high FROM deltas""",
+    ("pairs",),
+)
 
 _NORMS = "n AS (SELECT *, sqrt(list_sum(list_transform(vector, lambda x: x * x))) AS n FROM clips)"
 _PAIRS = f"""{_NORMS}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.book AS book_a, b.book AS book_b,
@@ -104,11 +116,11 @@ add(
 add("pairwise_similarity", lambda s, d: vectors.similarity_pairs(clips(s, d)), f"{_PAIRS} SELECT a, b, book_a, book_b, cosine FROM p", ("clips",))
 add(
     "similarity_stats",
-    lambda s, d: vectors.similarity_stats(vectors.similarity_pairs(clips(s, d))),
+    lambda s, d: vectors.similarity_stats(clips(s, d)),
     f"{_PAIRS} SELECT CASE WHEN book_a = book_b THEN 'within' ELSE 'across' END AS kind, count(*) * 2 AS n, round(avg(cosine), 6) AS mean, round(quantile_cont(cosine, 0.05), 6) AS p5 FROM p GROUP BY 1",
     ("clips",),
 )
-add("auto_threshold", lambda s, d: vectors.auto_threshold(vectors.similarity_pairs(clips(s, d))), f"{_PAIRS} SELECT round(1 - quantile_cont(cosine, 0.05), 6) AS threshold FROM p WHERE book_a = book_b", ("clips",))
+add("auto_threshold", lambda s, d: vectors.auto_threshold(clips(s, d)), f"{_PAIRS} SELECT round(1 - quantile_cont(cosine, 0.05), 6) AS threshold FROM p WHERE book_a = book_b", ("clips",))
 add(
     "standardize",
     lambda s, d: vectors.standardize(clips(s, d)).withColumn("z", F.round("z", 6)),
@@ -117,7 +129,26 @@ add(
     ("clips",),
 )
 # One partition for every book, as in the reference's survey of one configuration after the other.
-add("cluster_clips", lambda s, d: vectors.cluster_clips(clips(s, d).withColumnRenamed("book", "config"), 0.9))
+add(
+    "cluster_clips",
+    lambda s, d: vectors.cluster_clips(clips(s, d).withColumnRenamed("book", "config"), 0.9),
+    """e AS (SELECT *, sqrt(list_sum(list_transform(vector, lambda x: x * x))) + 1e-8 AS n FROM clips),
+    d AS (SELECT a.book AS config, a.vec_id AS a, b.vec_id AS b, 1 - list_sum(list_transform(list_zip(a.vector, b.vector), lambda z: z[1] * z[2])) / (a.n * b.n) AS d
+      FROM e a JOIN e b ON a.book = b.book AND a.vec_id < b.vec_id),
+    merges AS (
+      SELECT 0 AS step, book AS config, vec_id, vec_id AS label FROM clips
+      UNION ALL
+      SELECT s.step + 1, s.config, s.vec_id, CASE WHEN s.label = m.hi THEN m.lo ELSE s.label END
+      FROM merges s JOIN (
+        SELECT config, lo, hi FROM (
+          SELECT *, row_number() OVER (PARTITION BY config ORDER BY d, lo, hi) AS r FROM (
+            SELECT d.config, least(x.label, y.label) AS lo, greatest(x.label, y.label) AS hi, avg(d.d) AS d
+            FROM d JOIN merges x ON x.config = d.config AND x.vec_id = d.a JOIN merges y ON y.config = d.config AND y.vec_id = d.b WHERE x.label <> y.label GROUP BY ALL))
+        WHERE r = 1 AND d < 0.9) m ON m.config = s.config
+    ), last AS (SELECT config, vec_id, max_by(label, step) AS label FROM merges GROUP BY config, vec_id)
+    SELECT config, vec_id, dense_rank() OVER (PARTITION BY config ORDER BY label) - 1 AS cluster FROM last""",
+    ("clips",),
+)
 
 
 def _votes(s, d):
@@ -180,8 +211,8 @@ add(
 )
 add(
     "cosine_lr",
-    lambda s, d: s.range(0, 24_001, 50).select(F.col("id").alias("step"), F.round(A.cosine_rate(F.col("id"), 1000, 24_000), 9).alias("rate")),
-    "SELECT range AS step, round(CASE WHEN range < 1000 THEN range / 1000 ELSE 0.5 * (1 + cos(pi() * least((range - 1000) / 23000, 1))) END, 9) AS rate FROM range(0, 24001, 50)",
+    lambda s, d: fixtures.read(s, d, "orders").select(F.col("o_orderkey").alias("step"), F.round(A.cosine_rate(F.col("o_orderkey"), 1000, 24_000), 9).alias("rate")),
+    "SELECT o_orderkey AS step, round(CASE WHEN o_orderkey < 1000 THEN o_orderkey / 1000 ELSE 0.5 * (1 + cos(pi() * least((o_orderkey - 1000) / 23000, 1))) END, 9) AS rate FROM orders",
 )
 
 
@@ -198,6 +229,18 @@ add(
 )
 
 
+_PHASES = A.filter_phases(3, 2)
+_SIDE = len(_PHASES[0]) // 2
+add(
+    "resampled",
+    lambda s, d: clips(s, d).select("vec_id", F.posexplode(A.resample(F.col("vector"), 16_000, 24_000)).alias("i", "x")).withColumn("x", F.round("x", 9)).withColumn("x", F.when(F.col("x") == 0, 0.0).otherwise(F.col("x"))),
+    f"""e AS (SELECT vec_id, vector, unnest(range(0, CAST(ceil(len(vector) * 3 / 2) AS BIGINT))) AS i FROM clips)
+    SELECT vec_id, i, CASE WHEN x = 0 THEN 0 ELSE x END AS x FROM (SELECT vec_id, CAST(i AS INTEGER) AS i, round(list_sum(list_transform(range({-_SIDE}, {_SIDE + 1}), lambda j:
+      CASE WHEN i * 2 // 3 - j BETWEEN 0 AND len(vector) - 1 THEN vector[i * 2 // 3 - j + 1] ELSE 0 END * ({_PHASES})[i * 2 % 3 + 1][j + {_SIDE + 1}])), 9) AS x FROM e)""",
+    ("clips",),
+)
+
+
 def _agreement(s, d):
     x = F.transform("embedding", lambda v: v.cast("double"))
     e = fixtures.read(s, d, "embeddings").select("vec_id", x.alias("x"), F.transform(x, lambda v: F.floor(v * 64) / 64).alias("y"))

@@ -32,17 +32,21 @@ def _filesystem(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: lineage is cut, lost executors cost nothing,
-    and the planner knows the table's true size. The application's folder goes when its driver ends; discard() frees a
-    table earlier."""
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
-    where, fs = _filesystem(spark, folder)
+def folder(spark: SparkSession) -> str:
+    """The application's folder in the shared one; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
+    where, fs = _filesystem(spark, path)
     if not fs.exists(where):
         fs.mkdirs(where)
         fs.deleteOnExit(where)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back: lineage is cut, lost executors cost nothing,
+    and the planner knows the table's true size. discard() frees a table before its application ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path

@@ -38,9 +38,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def missing_columns(df: DataFrame, required: list[str]) -> DataFrame:
-    """(column, status): ok or FAIL for each required column."""
-    rows = [(c, "ok" if c in df.columns else "FAIL") for c in required]
-    return df.sparkSession.createDataFrame(rows, "column string, status string")
+    """(column, status, n) of each required column: ok or FAIL, and how many rows have a value there."""
+    counts = df.agg(*[(F.count(c) if c in df.columns else F.lit(0).cast("long")).alias(f"n{i}") for i, c in enumerate(required)])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit("ok" if c in df.columns else "FAIL").alias("status"), F.col(f"n{i}").alias("n")) for i, c in enumerate(required)]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def _ordinals(df: DataFrame) -> DataFrame:
