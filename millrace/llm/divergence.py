@@ -1,8 +1,9 @@
 """Source divergence audit by dense term blocks.
 
 Terms are runs of letters A-Z, a-z (one case) and characters beyond ASCII. Each language keeps the V terms that at least
-`least` of its documents hold. Its groups (sources) are rows and its kept terms columns of a matrix of counts, cut into
-blocks of TERMS terms and GROUPS groups. A block is a dense numpy int64 tile: smoothed shares
+`least` of its documents hold. Its groups (sources) are rows and its kept terms columns of a matrix of counts. Ranges of
+hashed terms give blocks of columns, and neighbouring blocks are laid together until they hold TERMS terms, so how many
+there are depends on the terms alone. With GROUPS groups such a block is a dense numpy int64 tile: smoothed shares
 p = 1 + floor(10^9 (count + 2) / (N + 2 V)), all pairs of its groups by broadcasting, f = floor((p - q)^2 / (p + q)).
 Partial pair sums of the blocks are added up, and each group's heap of its `top` terms above the language's own share is
 merged from those of the blocks.
@@ -93,21 +94,24 @@ _RESULT = "lang string, source string, part string, item string, value long"
 
 
 def _tile(top: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Partial pair sums and heaps of one tile: rows are the groups of blocks a and b, and the terms where a = b."""
+    """Partial pair sums and heaps of one tile: rows are counts of the groups of blocks a and b, each for some columns from
+    `base` on (or none), and the terms of these columns where a = b."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lang, a, b = pdf["lang"].iloc[0], int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
         terms = pdf[pdf["source"].isna()]
-        groups = pdf[pdf["source"].notna()].sort_values("source")
+        groups = pdf[pdf["source"].notna()]
         width = int(pdf["width"].iloc[0])
 
         def dense(side: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-            counts = np.zeros((len(side), width), np.int64)
-            for i, (at, held) in enumerate(zip(side["at"], side["counts"])):
+            totals = dict(zip(side["source"], side["total"]))
+            names = sorted(totals)
+            place = {name: i for i, name in enumerate(names)}
+            counts = np.zeros((len(names), width), np.int64)
+            for name, base, at, held in zip(side["source"], side["base"], side["at"], side["counts"]):
                 if held is not None:
-                    counts[i, np.frombuffer(at, np.int32)] = np.frombuffer(held, np.int64)
-            p = np.stack([shares(c, t) for c, t in zip(counts, side["total"])]) if width and len(side) else counts
-            return list(side["source"]), counts, p
+                    counts[place[name], int(base) + np.frombuffer(at, np.int32)] = np.frombuffer(held, np.int64)
+            return names, counts, np.stack([shares(c, totals[n]) for c, n in zip(counts, names)]) if width and names else counts
 
         out = []
         names, counts, p = dense(groups[groups["g"] == a])
@@ -119,8 +123,11 @@ def _tile(top: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             sums = distances(p, q)
             out += [(lang, names[i], "pair", others[j], int(sums[i, j])) for i in range(len(names)) for j in range(len(others))]
         if a == b and len(terms):
-            q = shares(np.frombuffer(terms["counts"].iloc[0], np.int64), int(terms["total"].iloc[0]))
-            spelled = terms["terms"].iloc[0]
+            held, spelled = np.zeros(width, np.int64), np.empty(width, object)
+            for base, mine, listed in zip(terms["base"], terms["counts"], terms["terms"]):
+                held[int(base) : int(base) + len(listed)] = np.frombuffer(mine, np.int64)
+                spelled[int(base) : int(base) + len(listed)] = listed
+            q = shares(held, int(terms["total"].iloc[0]))
             gap = p - q
             value = gap * gap // (p + q)
             for i, name in enumerate(names):
@@ -132,6 +139,17 @@ def _tile(top: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
+def _laid(counted: DataFrame, width: int) -> DataFrame:
+    """(lang, block, tile, base): where each block's columns lie: a tile begins with the block that comes first after
+    `width` further columns of its language."""
+    blocks = counted.where("source IS NULL").select("lang", "block", F.size("terms").alias("size"))
+    before = Window.partitionBy("lang").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    blocks = blocks.withColumn("tile", F.floor(F.col("before") / width))
+    base = F.col("before") - F.min("before").over(Window.partitionBy("lang", "tile"))
+    return blocks.select("lang", "block", "tile", base.alias("base"), "size")
+
+
 def divergence(
     df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST, top: int = TOP, width: int = TERMS, height: int = GROUPS
 ) -> DataFrame:
@@ -153,19 +171,21 @@ def divergence(
     total = F.col("n") + 2 * F.coalesce("v", F.lit(0))
     told = told.select("lang", "source", total.alias("total"), "height", F.pmod(F.xxhash64("source"), F.col("height")).cast("int").alias("g"))
     told = materialise(told, "group-sums")
-    blocks = counted.where("source IS NULL").select("lang", "block", F.size("terms").alias("width"))
-    blocks = sizes.select("lang").join(blocks, "lang", "left").select("lang", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("width", F.lit(0)).alias("width"))
-    # The matrix is dense: every group of a language meets every block of its terms.
-    dense = told.join(blocks, "lang")
-    same = (dense["lang"] == counted["lang"]) & (dense["block"] == counted["block"]) & dense["source"].eqNullSafe(counted["source"])
-    held = dense.join(counted, same, "left").select(*[dense[c] for c in dense.columns], "at", "counts", "terms")
+    laid = materialise(_laid(counted, width), "columns")
+    widths = laid.groupBy("lang", "tile").agg(F.sum("size").alias("width"))
+    widths = sizes.select("lang").join(widths, "lang", "left").select("lang", F.coalesce("tile", F.lit(0)).alias("tile"), F.coalesce("width", F.lit(0)).alias("width"))
+    # The matrix is dense: every group of a language meets every tile of its terms.
+    dense = told.join(widths, "lang")
+    placed = counted.join(laid.drop("size"), ["lang", "block"]).select("lang", "tile", "source", "base", "at", "counts", "terms")
+    same = (dense["lang"] == placed["lang"]) & (dense["tile"] == placed["tile"]) & dense["source"].eqNullSafe(placed["source"])
+    held = dense.join(placed, same, "left").select(*[dense[c] for c in dense.columns], "base", "at", "counts", "terms")
     every = F.sequence(F.lit(0), F.col("height") - 1)
     spread = held.where("source IS NOT NULL").withColumn("y", F.explode(every))
     spread = spread.select("*", F.least("g", "y").alias("a"), F.greatest("g", "y").alias("b")).drop("y")
     heads = held.where("source IS NULL AND width > 0").withColumn("a", F.explode(every)).withColumn("b", F.col("a"))
     tiles = spread.unionByName(heads.select(*spread.columns))
-    found = materialise(tiles.groupBy("lang", "block", "a", "b").applyInPandas(_tile(top), _RESULT), "tiles")
-    discard(counted)
+    found = materialise(tiles.groupBy("lang", "tile", "a", "b").applyInPandas(_tile(top), _RESULT), "tiles")
+    discard(counted, laid)
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     pairs = pairs.unionByName(pairs.select("lang", F.col("item").alias("source"), "part", F.col("source").alias("item"), "value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
