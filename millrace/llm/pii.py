@@ -184,33 +184,55 @@ def _pairs(rows: list) -> tuple[list, list, list]:
     return contexts, [r[1] for r in rows], [r[2] for r in rows]
 
 
-def _judged(pairs: DataFrame, around: DataFrame, counts: DataFrame, total: float, alpha: float, support: int) -> DataFrame:
-    """(entity, term, share) of pairs (entity, term, both), (entity, around) and (term, n)."""
-    total = F.lit(float(total))
-    known = pairs.where(F.col("both") >= support).join(around, "entity").join(counts, "term")
+def _shares(known: DataFrame, total, alpha: float) -> DataFrame:
+    """known (both, around, n) with the share of information that `both` discloses, where it reaches alpha."""
     pmi = F.log(F.col("both") * total / (F.col("around") * F.col("n")))
     content = F.log(total / F.col("around"))
-    share = F.when(content > 0, pmi / content)
-    return known.select("entity", "term", share.alias("share")).where(F.col("share") >= alpha)
+    return known.withColumn("share", F.when(content > 0, pmi / content)).where(F.col("share") >= alpha)
+
+
+def _classes(rows: DataFrame, item: str) -> DataFrame:
+    """(item, n, texts): in how many texts each item of rows (t, item) is, and a name for which those are."""
+    name = F.xxhash64(F.bit_xor(F.xxhash64("t")), F.bit_xor(F.xxhash64("t", F.lit(1))), F.count("*"))
+    return rows.groupBy(item).agg(F.count("*").alias("n"), name.alias("texts"))
+
+
+def _by_texts(found: DataFrame, held: DataFrame, n_texts: int, alpha: float, support: int) -> DataFrame:
+    """(term, share): each term's largest share with an entity, by texts. found: t, entities, terms of the texts with
+    mentions; held: term, n of all texts.
+
+    Entities that are in the same texts have the same counts with every term, so one stands for all of them, and so it is
+    with terms: the pairs that are counted are those of distinct sets of texts. Terms go first that no entity could reach:
+    of those that are in c texts with mentions, the best entity is in the same c."""
+    total = F.lit(float(n_texts))
+    entities = _classes(found.select("t", F.explode("entities").alias("entity")), "entity").where(F.col("n") >= support)
+    terms = _classes(found.select("t", F.explode("terms").alias("term")), "term").where(F.col("n") >= support)
+    terms = terms.withColumnRenamed("n", "c").join(held, "term")
+    terms = terms.where(F.log(total / F.col("n")) >= alpha * F.log(total / F.col("c")) - 1e-9)
+    terms = materialise(terms.select("term", "n", F.xxhash64("texts", "n").alias("held")), "term-classes")
+    entities = materialise(entities.select("entity", F.col("n").alias("around"), F.col("texts").alias("who")), "entity-classes")
+    ours = found.select("t", F.explode("entities").alias("entity")).join(entities, "entity").select("t", "who").distinct()
+    theirs = found.select("t", F.explode("terms").alias("term")).join(terms, "term").select("t", "held").distinct()
+    both = ours.join(theirs, "t").groupBy("who", "held").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    sizes = entities.select("who", "around").distinct()
+    known = terms.select("held", "n").distinct()
+    best = _shares(both.join(sizes, "who").join(known, "held"), total, alpha).groupBy("held").agg(F.max("share").alias("share"))
+    return terms.join(best, "held").select("term", "share")
 
 
 def disclosing_terms(scan: DataFrame, n_texts: int, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, share): terms whose PMI with an entity, by words or by texts, is at least alpha of the entity's
-    information content."""
+    """(term, share): terms whose PMI with some entity, by words or by texts, is at least alpha of the entity's information
+    content, and the largest such share. scan: a written table of _scan's rows, each with a number `t`."""
     found = scan.where("n is null")
     counts = scan.where("n is not null").groupBy("term").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
     total = scan.where("n is not null").agg(F.sum("n")).first()[0] or 0
     near = found.select(F.explode("contexts").alias("x")).select("x.entity", "x.term")
     near = near.groupBy("entity", "term").agg(F.count("*").alias("both"))
     around = near.groupBy("entity").agg(F.sum("both").alias("around"))
-    by_words = _judged(near, around, counts.select("term", "n"), total, alpha, support)
-    # An entity in fewer texts than the support has no term that is in as many with it.
-    holders = found.select(F.explode("entities").alias("entity"), "terms")
-    around = holders.groupBy("entity").agg(F.count("*").alias("around")).where(F.col("around") >= support)
-    both = holders.join(around.select("entity"), "entity", "left_semi").select("entity", F.explode("terms").alias("term"))
-    both = both.groupBy("entity", "term").agg(F.count("*").alias("both"))
-    by_texts = _judged(both, around, counts.select("term", F.col("held").alias("n")), n_texts, alpha, support)
-    return by_words.union(by_texts).groupBy("entity", "term").agg(F.max("share").alias("share"))
+    known = near.where(F.col("both") >= support).join(around, "entity").join(counts.select("term", "n"), "term")
+    by_words = _shares(known, F.lit(float(total)), alpha).select("term", "share")
+    by_texts = _by_texts(found.select("t", "entities", "terms"), counts.select("term", F.col("held").alias("n")), n_texts, alpha, support)
+    return by_words.union(by_texts).groupBy("term").agg(F.max("share").alias("share"))
 
 
 _MARKED = (
@@ -250,8 +272,8 @@ def _mark(rows: DataFrame, terms: np.ndarray, removed: np.ndarray) -> DataFrame:
 
 def _marked(df: DataFrame, id_col: str, text_col: str, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """The texts with their mentions and disclosing terms; one row for each of df."""
-    scan = materialise(_scan(df, text_col), "personal-data")
-    judged = disclosing_terms(scan, df.count(), alpha, support).groupBy("term").agg(F.max("share").alias("share"))
+    scan = materialise(_scan(df, text_col).withColumn("t", F.monotonically_increasing_id()), "personal-data")
+    judged = disclosing_terms(scan, df.count(), alpha, support)
     judged = materialise(judged.select("term", (F.col("share") >= REMOVE).alias("removed")), "disclosing-terms")
     blocks = max(1, -(-judged.count() // BLOCK))
     empty = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
