@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,56 +13,131 @@ from millrace.sources.interim import materialise
 from .splits import SEED, shuffled
 
 
-def fill_runs(runs: list[tuple[float, int]], budget: float, most: int | None = None) -> list[tuple[float, int, int, int, int]]:
-    """(value, taken, room, batch, length before) of runs of equal durations in ascending order.
-
-    A run's first `taken` rows join `batch`; the rest fill batches of `room` rows after it."""
-    out, batch, length = [], 0, 0
-    for value, n in runs:
-        room = max(1, math.floor(budget / value)) if value > 0 else n + length
-        while value > 0 and (room + 1) * value <= budget:
-            room += 1
-        while room > 1 and room * value > budget:
-            room -= 1
-        room = min(room, most) if most else room
-        taken = min(n, max(0, room - length))
-        out.append((value, taken, room, batch, length))
-        rest = n - taken
-        if rest:
-            batch += 1 + (rest - 1) // room
-            length = rest - (rest - 1) // room * room
+_UNBOUNDED = 1 << 62
+
+
+def _rooms(values: np.ndarray, budget: float, most: int | None) -> np.ndarray:
+    """How many rows may be together where each of these ascending values is the longest."""
+    positive = values > 0
+    room = np.full(len(values), _UNBOUNDED, np.int64)
+    held = values[positive]
+    n = np.floor(np.minimum(budget / held, float(_UNBOUNDED // 2))).astype(np.int64)
+    for _ in range(2):  # quotients are rounded: what counts is the product
+        n += (n + 1) * held <= budget
+        n -= (n > 0) & (n * held > budget)
+    room[positive] = n
+    return np.minimum(room, most) if most else room
+
+
+def _ends(room: np.ndarray) -> np.ndarray:
+    """The last row of the batch that starts at each row: one row at least, then as many as each row's room allows."""
+    at = np.arange(len(room))
+    return np.maximum(np.searchsorted(np.maximum.accumulate(at + 1 - room), at, "right"), at + 1) - 1
+
+
+def batch_rule(values: np.ndarray, budget: float, most: int | None = None) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """What a block of ascending values does to the batch that is open before it: (batches begun after the first, rows in
+    the last) if none is; then, for an open one, `spare`, falling: the first place k with more rows in it than spare[k]
+    names how many batches are begun and how many rows the last one has. If there is none, all rows join it. Places of
+    equal outcomes are one entry."""
+    n = len(values)
+    room = _rooms(values, budget, most)
+    ends = _ends(room)
+    begun, last = [0] * (n + 1), [0] * (n + 1)
+    for at in range(n - 1, -1, -1):
+        end = int(ends[at])
+        begun[at], last[at] = (begun[end + 1] + 1, last[end + 1]) if end < n - 1 else (0, n - at)
+    least = np.minimum.accumulate(room - np.arange(n) - 1)
+    falls = np.flatnonzero(np.diff(least, prepend=_UNBOUNDED) < 0)
+    spare, count, rest = [], [], []
+    for at in falls:
+        # With more rows held than this, the batch ends before this row, if not before an earlier one.
+        if not count or (count[-1], rest[-1]) != (begun[at] + 1, last[at]):
+            spare.append(int(least[at]))
+            count.append(begun[at] + 1)
+            rest.append(last[at])
+        elif count:
+            spare[-1] = int(least[at])
+        if least[at] < 1:
+            break
+    return begun[0], last[0], np.array(spare, np.int64), np.array(count, np.int64), np.array(rest, np.int64)
+
+
+def batch_starts(rules: list[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """(rows held, batch) before each block, from (rows, *batch_rule) of all blocks in order."""
+    out, held, batch = [], 0, 0
+    for n, begun, last, spare, count, rest in rules:
+        out.append((held, batch))
+        if not held:
+            held, batch = last, batch + begun
+            continue
+        at = int(np.searchsorted(-np.asarray(spare), -held, "right"))
+        if at < len(spare):
+            held, batch = int(rest[at]), batch + int(count[at])
         else:
-            length += taken
+            held += n
+    return out
+
+
+def block_batches(values: np.ndarray, budget: float, most: int | None, held: int, batch: int) -> np.ndarray:
+    """The batch of each row of a block that starts with so many rows held in this batch."""
+    n = len(values)
+    room = _rooms(values, budget, most)
+    ends = _ends(room)
+    out, at = np.empty(n, np.int64), 0
+    if held:
+        late = np.flatnonzero(room - np.arange(n) - 1 < held)
+        at = int(late[0]) if len(late) else n
+        out[:at] = batch
+        batch += 1
+    while at < n:
+        end = int(ends[at])
+        out[at : end + 1] = batch
+        at, batch = end + 1, batch + 1
     return out
 
 
 def length_buckets(df: DataFrame, budget: float, most: int | None = None, keys: tuple[str, ...] = ("config",), order: tuple[str, ...] = ("id",)) -> DataFrame:
     """df plus its batch: ascending durations, a new batch where longest x (rows + 1) would exceed the budget.
 
-    Only durations decide where batches end, so the fold runs over a partition's distinct durations with their counts;
-    rows find their batch by their rank among equal durations. A row without a duration counts as one of none."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("duration")
-        rows = fill_runs([(float(v), int(n)) for v, n in zip(pdf["duration"], pdf["n"])], budget, most)
-        out = pd.DataFrame(rows, columns=["duration", "taken", "room", "first", "length"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    held = df.withColumn("_d", F.coalesce(F.col("duration").cast("double"), F.lit(0.0)))
-    counts = held.groupBy(*keys, F.col("_d").alias("duration")).agg(F.count("*").alias("n"))
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    plan = counts.groupBy(*keys).applyInPandas(fold, f"{kinds}, duration double, taken long, room long, first long, length long")
-    rank = F.row_number().over(Window.partitionBy(*keys, "_d").orderBy(*order)) - 1
-    ranked = held.withColumn("_r", rank)
-    same = ranked["_d"] == plan["duration"]
-    for k in keys:
-        same = same & ranked[k].eqNullSafe(plan[k])
-    placed = ranked.join(plan, same).select(*[ranked[c] for c in ranked.columns], "taken", "room", "first", "length")
-    late = F.col("first") + 1 + F.floor((F.col("_r") - F.col("taken")) / F.col("room"))
-    batch = F.when(F.col("_r") < F.col("taken"), F.col("first")).otherwise(late)
-    return placed.withColumn("batch", batch.cast("long")).drop("_r", "_d", "taken", "room", "first", "length")
+    Whether a row joins depends on all before it. So rows are sorted by range into blocks, a block's task tells what the
+    block does to any batch that is open before it, these short rules are folded in order for each key, and each block
+    then deals its rows from where it starts: no task holds more of a key than a block. What is sorted and written once
+    are keys, durations and `order`, without the rest of the rows. A row without a duration counts as one of none; rows
+    of one duration go by `order`, and equal ones by a number."""
+    places = [f"_o{i}" for i in range(len(order))]
+    held = df.withColumns({"_g": F.to_json(F.struct(*keys)), "_d": F.coalesce(F.nanvl(F.col("duration").cast("double"), F.lit(0.0)), F.lit(0.0)), **{p: F.col(c) for p, c in zip(places, order)}})
+    line = ["_g", "_d", *places, "_n"]
+    held = held.withColumn("_n", F.row_number().over(Window.partitionBy("_g", "_d", *places).orderBy(F.lit(0))))
+    rows = held.select(*line).repartitionByRange(*line).sortWithinPartitions(*line)
+    # The number holds the partition above bit 33; the table is written, so it stays the same.
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "by-length")
+    rows = rows.withColumn("block", F.shiftright("row", 33))
+
+    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.sort_values("row")["_d"].to_numpy(np.float64)
+        begun, last, spare, count, rest = batch_rule(values, budget, most)
+        told = {"n": len(values), "begun": begun, "last": last, "spare": [spare], "count": [count], "rest": [rest]}
+        return pd.DataFrame({"_g": pdf["_g"].iloc[:1].tolist(), "block": int(pdf["block"].iloc[0]), **told})
+
+    def start(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        told = batch_starts(list(zip(*(pdf[c] for c in ("n", "begun", "last", "spare", "count", "rest")))))
+        return pd.DataFrame({"_g": pdf["_g"], "block": pdf["block"], "held": [t[0] for t in told], "first": [t[1] for t in told]})
+
+    def deal(part: pa.Table, begin: pa.Table) -> pa.Table:
+        part, begin = part.sort_by("row"), begin.slice(0, 1).to_pydict()
+        batches = block_batches(part["_d"].to_numpy(), budget, most, begin["held"][0], begin["first"][0])
+        return part.select(line).append_column("batch", pa.array(batches, pa.int64()))
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in line)
+    rules = rows.select("_g", "block", "row", "_d").groupBy("_g", "block").applyInPandas(tell, "_g string, block long, n long, begun long, last long, spare array<long>, count array<long>, rest array<long>")
+    starts = rules.groupBy("_g").applyInPandas(start, "_g string, block long, held long, first long")
+    cut = rows.groupBy("_g", "block").cogroup(starts.groupBy("_g", "block")).applyInArrow(deal, f"{kinds}, batch long")
+    same = (held["_g"] == cut["_g"]) & (held["_d"] == cut["_d"]) & (held["_n"] == cut["_n"])
+    for p in places:
+        same = same & held[p].eqNullSafe(cut[p])
+    return held.join(cut, same).select(*[held[c] for c in df.columns], "batch")
 
 
 def shuffle_batches(batches: DataFrame, epoch: int, seed: int = SEED, keys: tuple[str, ...] = ("config",)) -> DataFrame:

@@ -117,6 +117,42 @@ def test_batches_cost_at_most_the_budget(spark, most):
     assert {k: sorted(v) for k, v in have.items()} == want
 
 
+def plain_batches(values, budget, most):
+    out, batch, held = [], 0, 0
+    for d in values:
+        if held and (d * (held + 1) > budget or (most and held >= most)):
+            batch, held = batch + 1, 0
+        held += 1
+        out.append(batch)
+    return out
+
+
+def test_rules_of_blocks_tell_the_batches_of_the_plain_fold():
+    rng = random.Random(1)
+    for _ in range(600):
+        budget, most = rng.choice([1.0, 7.5, 60.0, 0.3]), rng.choice([None, 1, 3, 10])
+        values = sorted(rng.choice([0, 0.1, 0.3, 1, 2, 2.5, 7, 30, 100]) for _ in range(rng.randrange(1, 80)))
+        cuts = sorted(rng.sample(range(1, len(values)), min(len(values) - 1, rng.randrange(6)))) if len(values) > 1 else []
+        blocks = [np.array(values[a:b], float) for a, b in zip([0, *cuts], [*cuts, len(values)])]
+        starts = batching.batch_starts([(len(b), *batching.batch_rule(b, budget, most)) for b in blocks])
+        got = [x for b, (held, batch) in zip(blocks, starts) for x in batching.block_batches(b, budget, most, held, batch).tolist()]
+        assert got == plain_batches(values, budget, most)
+
+
+def test_batches_of_a_key_over_many_blocks(spark):
+    rng = random.Random(6)
+    rows = [("hot" if i % 3 else None, i % 700 if i % 50 else None, rng.choice([None, float("nan"), 0.0, rng.random() * 20, 3.0, 7.0])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "config string, id long, duration double").repartition(5)
+    got = batching.length_buckets(df, 40.0).collect()
+    assert len(got) == len(rows)
+    plain = lambda d: 0.0 if d is None or math.isnan(d) else d
+    for key in ("hot", None):
+        mine = sorted((r for r in got if r.config == key), key=lambda r: (plain(r.duration), -1 if r.id is None else r.id, r.batch))
+        want = sorted((plain(d), -1 if i is None else i) for c, i, d in rows if c == key)
+        assert [(plain(r.duration), -1 if r.id is None else r.id) for r in mine] == want
+        assert [r.batch for r in mine] == plain_batches([d for d, _ in want], 40.0, None)
+
+
 def test_size_shards(spark):
     sizes = [5, 5, 1, 20, 3, 3, 4, 1]
     df = spark.createDataFrame([("a", i, s) for i, s in enumerate(sizes)], "config string, pos int, size long")
