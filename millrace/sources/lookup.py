@@ -112,7 +112,8 @@ def find_in_waves(
         if todo.isEmpty():
             break
         wave += 1
-    return Search(_all(found), todo, spark.createDataFrame(read, "config string, shard int, place int, wave int"))
+    met = _all(found) if found else spark.read.parquet(root).limit(0)
+    return Search(met, todo, spark.createDataFrame(read, "config string, shard int, place int, wave int"))
 
 
 def _shards(spark: SparkSession, root: str) -> DataFrame:
@@ -122,10 +123,10 @@ def _shards(spark: SparkSession, root: str) -> DataFrame:
     return files.select(part("config").alias("config"), part("shard").cast("int").alias("shard")).distinct()
 
 
-def _all(parts: list[DataFrame]) -> DataFrame | None:
-    out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 

@@ -8,6 +8,7 @@ there is, and no shard appears. Paths must be ones that pyarrow's file systems r
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from collections.abc import Iterator
@@ -54,7 +55,7 @@ class _Writer(DataSourceArrowWriter):
 
         system, within = file_system(self._temporary())
         system.create_dir(within, recursive=True)
-        out, name, writer, held, rows, most = Written(), None, None, [], 0, 1
+        out, name, writer, sink, held, rows, most = Written(), None, None, None, [], 0, 1
 
         def flush(last: bool) -> None:
             nonlocal held, rows
@@ -66,34 +67,41 @@ class _Writer(DataSourceArrowWriter):
             held = table.slice(at).to_batches() if table is not None and at < rows else []
             rows = max(0, rows - at)
 
+        def close() -> None:
+            if writer is not None:
+                flush(True)
+                writer.close()
+                sink.close()
+
         try:
             for batch in iterator:
                 control = pa.Table.from_batches([batch]).select(_CONTROL).to_pandas()
                 # A task's rows come in order of files.
                 edges = [0, *(control.index[1:][control[_FILE].to_numpy()[1:] != control[_FILE].to_numpy()[:-1]]), batch.num_rows]
                 for lo, hi in zip(edges, edges[1:]):
-                    split, shard, shards, most_rows = control.loc[lo, [_SPLIT, _SHARD, _SHARDS, _ROWS]] if hi > lo else (None,) * 4
                     if hi <= lo:
                         continue
+                    split, shard, shards, most_rows = control.loc[lo, [_SPLIT, _SHARD, _SHARDS, _ROWS]]
                     part = batch.slice(lo, hi - lo)
                     part = part.select([c for c in part.schema.names if c not in _CONTROL])
                     final = f"{split}-{int(shard):05d}-of-{int(shards):05d}.parquet"
                     if final != name:
-                        if writer is not None:
-                            flush(True)
-                            writer.close()
+                        close()
                         name, most = final, int(most_rows)
                         temporary = f"{within}/{uuid.uuid4().hex}.parquet"
                         out.files.append((temporary, final))
                         schema = part.schema.with_metadata({**(part.schema.metadata or {}), **self.footer})
-                        writer = pq.ParquetWriter(system.open_output_stream(temporary), schema, compression="zstd", write_page_index=True)
+                        sink = system.open_output_stream(temporary)
+                        writer = pq.ParquetWriter(sink, schema, compression="zstd", write_page_index=True)
                     held.append(part)
                     rows += part.num_rows
                     flush(False)
-            if writer is not None:
-                flush(True)
-                writer.close()
+            close()
         except BaseException:
+            with contextlib.suppress(Exception):  # the file goes in any case
+                if writer is not None:
+                    writer.close()
+                    sink.close()
             for temporary, _ in out.files:
                 if system.get_file_info(temporary).is_file:
                     system.delete_file(temporary)

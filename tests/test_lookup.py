@@ -60,6 +60,10 @@ def test_of_rows_of_one_id_the_first_shard_in_order_wins(spark, tmp_path):
     wanted, hints = spark.createDataFrame([("a", "i")], "config string, id string"), spark.createDataFrame([("a", 2)], "config string, shard int")
     out = lookup.find_in_waves(spark, root, wanted, hints, 2, ("x",))
     assert [(r.shard, r.x) for r in out.found.collect()] == [(2, 20)]
+    none = lookup.find_in_waves(spark, root, wanted.limit(0), hints, 2)
+    assert none.found.count() == none.missing.count() == none.read.count() == 0
+    absent = lookup.find_in_waves(spark, root, spark.createDataFrame([("z", "i")], "config string, id string"), hints, 2)
+    assert absent.found.count() == absent.read.count() == 0 and absent.missing.count() == 1
 
 
 def pack_rows(spark, n):
