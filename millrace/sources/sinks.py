@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +28,20 @@ def write_routed(df: DataFrame, path: str, side: str = "side") -> None:
     df.write.mode("overwrite").partitionBy(side).parquet(path)
 
 
-def write_shards(df: DataFrame, path: str, limit_bytes: int, size: str = "size", block_bytes: int | None = None, buckets: int = 256) -> None:
-    """A file for each shard: rows run by hash, and a shard ends with the row that brings its `size` to limit_bytes, so
-    a file holds less than the limit and one row. Sums run within hash buckets, on top of the sums of those before."""
-    h = F.xxhash64(*df.columns)
+def write_shards(df: DataFrame, path: str, limit_bytes: int, size: str = "size", block_bytes: int | None = None, block_rows: int = 500_000) -> None:
+    """A file for each shard: rows run by hash, and a shard ends with the row that brings the sum of `size` to a multiple of
+    limit_bytes, so a file holds less than the limit and one row. Sums run within ranges of hashes, on top of the sums of
+    those before; there are as many ranges as leave each about block_rows rows, so a task's share doesn't grow with the
+    table. A row without a size counts as one of none."""
     weight = F.coalesce(F.col(size).cast("double"), F.lit(0.0))
-    rows = df.withColumns({"_h": h, "_w": weight}).withColumn("_b", F.shiftright("_h", 56).cast("int") if buckets == 256 else F.pmod("_h", F.lit(buckets)).cast("int"))
+    total, count = df.agg(F.coalesce(F.sum(weight), F.lit(0.0)), F.count("*")).first()
+    bits = max(8, math.ceil(math.log2(max(1, count / block_rows))))
+    rows = df.withColumns({"_h": F.xxhash64(*df.columns), "_w": weight}).withColumn("_b", F.shiftright("_h", 64 - bits).cast("long"))
     sums = rows.groupBy("_b").agg(F.sum("_w").alias("_t"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     sums = sums.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_base"))
     inner = Window.partitionBy("_b").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(F.broadcast(sums), "_b").withColumn("_at", F.col("_base") + F.coalesce(F.sum("_w").over(inner), F.lit(0.0)))
-    total = df.agg(F.sum(weight)).first()[0] or 0.0
+    placed = rows.join(sums, "_b").withColumn("_at", F.col("_base") + F.coalesce(F.sum("_w").over(inner), F.lit(0.0)))
     n = int(total // limit_bytes) + 1
     moved = placed.withColumn("_shard", F.least(F.floor(F.col("_at") / limit_bytes), F.lit(n - 1)).cast("int")).repartitionById(n, "_shard")
     writer = moved.select(*df.columns).write.mode("overwrite").option("compression", "zstd")

@@ -248,6 +248,9 @@ def test_shard_files_keep_the_limit(spark, tmp_path):
     per = [sum(r.size or 0 for r in spark.read.parquet(str(f)).collect()) for f in (tmp_path / "s").glob("*.parquet")]
     assert sum(per) == sum(i % 17 + 1 for i in range(900)) and max(per) < 500 + 17 and len(per) == sum(per) // 500 + 1
     assert spark.read.parquet(f"{tmp_path}/s").count() == 901
+    sinks.write_shards(df, f"{tmp_path}/many", 500, block_rows=1)  # more ranges than rows
+    many = [sum(r.size or 0 for r in spark.read.parquet(str(f)).collect()) for f in (tmp_path / "many").glob("*.parquet")]
+    assert sorted(many) == sorted(per)
 
 
 def test_split_source(spark, tmp_path):
