@@ -10,8 +10,9 @@ drops white space between words (`blank_free`); else the text itself. Lower case
 tokenizer, since special strings within texts are found before it applies them.
 
 A null text is empty (0 tokens for a tokenizer without added ones). Repeated rows, null and repeated ids are kept, one
-result row each; other columns are ignored; an empty table gives no rows. A `blank_free` tokenizer
-encodes words between spaces, each once as long as a task holds its count, so no text is encoded whole. Two runs that append the same digest do no harm: it has one count.
+result row each; other columns are ignored; an empty table gives no rows. A `blank_free` tokenizer encodes words between
+spaces, each once as long as a task holds its count, so no text is encoded whole. Two runs that append the same digest do
+no harm: it has one count.
 """
 
 from __future__ import annotations
