@@ -3,11 +3,12 @@
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays as A
 from millrace.functions import edits, symbols
-from millrace.operators import batching, splits
+from millrace.operators import batching, splits, vectors
 from millrace.plans.texts import BLANK, DONOR, SPACE, UNKNOWN
 
 
@@ -68,3 +69,17 @@ def test_batches_do_not_depend_on_the_rows_of_a_block(spark, monkeypatch):
     small = sorted(map(tuple, batching.size_shards(sizes, 100.0).collect()))
     monkeypatch.setattr(batching, "BLOCK_BITS", 16)
     assert sorted(map(tuple, batching.size_shards(sizes, 100.0).collect())) == small
+
+
+def test_clusters_by_rounds_are_the_closest_first_rule(spark):
+    rng = np.random.default_rng(5)
+    for d, threshold in ((3, 0.3), (6, 0.9)):
+        x = rng.normal(size=(90, d))
+        x[60:70] = x[:10]
+        rows = [("a" if i % 2 else None, i, v.tolist()) for i, v in enumerate(x)]
+        df = spark.createDataFrame(rows, "config string, vec_id long, vector array<double>").repartition(5)
+        want = {}
+        for odd in (0, 1):
+            want |= {i: c for i, c in zip(range(odd, 90, 2), vectors.upgma(x[odd::2], threshold).tolist())}
+        got = vectors.cluster_clips(df, threshold, alone=4, per_block=10).collect()
+        assert len(got) == 90 and {r.vec_id: r.cluster for r in got} == want
