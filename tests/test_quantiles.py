@@ -128,3 +128,19 @@ def test_draws_are_poisson_and_each_row_has_its_own(spark):
     spread = 2 * 1.96 * 0.4 / math.sqrt(400)
     assert 0.5 * spread < r.high - r.low < 2 * spread
     assert scoring.bootstrap_delta(odd, df, 200).first() == r
+
+
+def test_similarity_statistics_hold_a_stripe_at_a_time(monkeypatch):
+    """A task's memory is that of two blocks and a stripe of their products, not of all of these."""
+    x, y = np.random.default_rng(1).normal(size=(100, 4)), np.random.default_rng(2).normal(size=(70, 4))
+    monkeypatch.setattr(vectors, "NARROW", 8)
+    held = [(at, c.copy(), c.base) for at, c in vectors._stripes(x, y)]
+    assert max(c.shape[0] for _, c, _ in held) == 8 and len({id(b) for _, _, b in held}) == 1
+    assert np.allclose(np.concatenate([c for _, c, _ in held]), x @ y.T)
+
+
+def test_similarity_pairs_come_in_stripes(spark):
+    df = clips_of(spark, [(i, "ab"[i % 2] if i % 5 else None, [float(i % 7 + 1), float(i % 3), 2.0]) for i in range(40)])
+    whole, parts = (sorted((r.a, r.b, r.book_a or "", r.book_b or "", r.cosine) for r in vectors.similarity_pairs(df, block, stripe).collect()) for block, stripe in ((512, 64), (9, 2)))
+    assert len(whole) == 40 * 39 // 2 and [r[:4] for r in whole] == [r[:4] for r in parts]
+    assert np.allclose([r[4] for r in whole], [r[4] for r in parts])
