@@ -39,6 +39,8 @@ _ENDS[[10, 11, 12, 13, *PIECE_ENDS.encode("ascii")]] = True
 DICTIONARY_ROWS = 2_000_000
 #: Keys that a task holds before it counts them.
 HELD = 2_000_000
+#: Bytes of text for a range of keys.
+RANGE_BYTES = 16 << 20
 #: Texts sampled for splitters, their bytes at most, and keys of each.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_KEYS = 4096, 1 << 17, 64
 
@@ -208,7 +210,13 @@ class _Keys:
     """Keys and their counts, combined when many are held."""
 
     def __init__(self, n_digits: int) -> None:
-        self.held, self.rows, self.n_digits = [], 0, n_digits
+        self.held, self.rows, self.n_digits, self.distinct = [], 0, n_digits, 0
+
+    def bounded(self, most: int) -> None:
+        """Combines what is held once it is more than `most` and twice what was left the last time: a range of many
+        distinct keys is sorted as often as it doubles, not with every blob that comes."""
+        if self.rows > max(most, 2 * self.distinct):
+            self.combined()
 
     def add(self, digits: np.ndarray, counts: np.ndarray) -> None:
         self.held.append((digits, counts))
@@ -220,11 +228,11 @@ class _Keys:
         else:
             digits, counts = np.empty((self.n_digits, 0), np.uint16), np.empty(0, np.int64)
         digits, counts = radix_runs(digits, counts)
-        self.held, self.rows = [(digits, counts)], len(counts)
+        self.held, self.rows, self.distinct = [(digits, counts)], len(counts), len(counts)
         return digits, counts
 
     def clear(self) -> None:
-        self.held, self.rows = [], 0
+        self.held, self.rows, self.distinct = [], 0, 0
 
 
 def _splitters(coded: DataFrame, width: int, parts: int) -> list[tuple[int, int]]:
@@ -276,8 +284,7 @@ def phrase_counts(coded: DataFrame, width: int, splitters: list[tuple[int, int]]
             for i in range(batch.num_rows):
                 counts = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
                 keys.add(np.frombuffer(batch.column(1)[i].as_buffer(), np.uint16).reshape(size, -1), counts)
-                if keys.rows > 2 * HELD:
-                    keys.combined()
+                keys.bounded(2 * HELD)
         digits, counts = keys.combined()
         if not len(counts):
             return
@@ -333,14 +340,16 @@ def collocations(
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's `top` phrases."""
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.lit("").alias("source"), text_of(text_col).alias("text"))
+    texts, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # Ranges grow in number with the texts, so none grows in size.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     counted = materialise(lexicon.gathered(rows, _SEP, parts, _frequent(least), "lang string, word string, key long, n long"), "word-counts")
     totals = counted.where("word IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     known = dictionary(counted.where("word IS NOT NULL"))
     width = 1 if known.count() < 1 << 16 else 2
     code = encoder(known, dictionary_rows)
-    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
+    share = min(1.0, SAMPLE_DOCS / max(1, texts))
     chosen = rows.where((F.octet_length("text") <= SAMPLE_BYTES) & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))).distinct()
     grams = materialise(phrase_counts(code(rows), width, _splitters(code(chosen), width, parts), least), "phrases")
     found = scored(grams, known, totals, percent)

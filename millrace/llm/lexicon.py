@@ -48,7 +48,7 @@ class Tally:
         self.names: dict[tuple[str, str], int] = {}
         self.counts: list[tuple[np.ndarray, ...]] = []
         self.words: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.rows, self.merged = 0, False
+        self.rows, self.distinct, self.merged = 0, 0, False
 
     def group(self, lang: str, source: str) -> int:
         return self.names.setdefault((lang, source), len(self.names))
@@ -74,10 +74,15 @@ class Tally:
         names, size, data = (np.concatenate(c) for c in zip(*self.words))
         names, at = np.unique(names, return_index=True)
         self.words = [(names, size[at], slices(data, (np.cumsum(size) - size)[at], size[at]))]
-        self.counts, self.rows, self.merged = [(key, group, n, docs)], len(key), True
+        self.counts, self.rows, self.distinct, self.merged = [(key, group, n, docs)], len(key), len(key), True
+
+    def bounded(self, most: int) -> None:
+        """Merges what is held once it is more than `most` and twice what was left the last time."""
+        if self.rows > max(most, 2 * self.distinct):
+            self.merge()
 
     def clear(self) -> None:
-        self.counts, self.words, self.rows, self.merged = [], [], 0, False
+        self.counts, self.words, self.rows, self.distinct, self.merged = [], [], 0, 0, False
 
     def packed(self, parts: int) -> Iterator[pa.RecordBatch]:
         """A row for each of `parts` ranges of keys that has some."""
@@ -147,8 +152,7 @@ def gathered(rows: DataFrame, sep: np.ndarray, parts: int, finish: Callable[[Tal
         tally = Tally()
         for batch in batches:
             tally.unpack(batch)
-            if tally.rows > 2 * HELD:
-                tally.merge()
+            tally.bounded(2 * HELD)
         if tally.rows:
             tally.merge()
             yield from finish(tally)
