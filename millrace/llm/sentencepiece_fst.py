@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, tidy
+from .common import kept, table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Parts longer than this aren't cached; a full cache is kept for one more generation, as parts in use move on: some 60
 #: MB a worker. Characters that are composed at once.
-CACHED_CHARS, CACHE_ENTRIES, AT_ONCE = 48, 200_000, 1 << 17
+CACHED_CHARS, CACHE_ENTRIES, AT_ONCE = 48, 200_000, 1 << 15
 _NEVER = np.int32(1 << 30)
 
 
@@ -388,7 +388,7 @@ class Transducer:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-_LOADED: dict[int, Transducer] = {}
+_LOADED: dict[int, Transducer] = kept(__name__)
 
 
 def _loaded(model: bytes) -> Transducer:

@@ -4,9 +4,11 @@ import glob
 import time
 
 import numpy as np
+import pyarrow as pa
 
 from millrace.llm import common, graph
 from millrace.llm import jaccard as J
+from millrace.llm import sentencepiece_fst
 
 
 def shuffle_files(spark):
@@ -41,3 +43,15 @@ def test_long_texts_are_stated_in_parts(spark, monkeypatch):
     monkeypatch.setattr(J, "STATED", 40)
     parts = J._statements(docs, 3, 90, 100, frequent).distinct().collect()
     assert sorted(whole) == sorted(parts) and len({r.set_id for r in parts}) == 12
+
+
+def test_workers_forget_what_another_operator_kept(spark):
+    texts = spark.range(64).selectExpr("concat('some words ', id) AS text").repartition(16)
+
+    def loaded(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(sentencepiece_fst._LOADED)])], names=["n"])
+
+    assert sentencepiece_fst.encode_decode(texts).where("round_trip").count() == 64
+    assert sum(r.n for r in texts.mapInArrow(loaded, "n long").collect()) > 0
+    assert sum(r.n for r in texts.mapInArrow(common.tidy(loaded), "n long").collect()) == 0
