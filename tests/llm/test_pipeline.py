@@ -1,6 +1,7 @@
 """Every stage against a plain version of its decision, on the smallest tables and on a fixture with nulls."""
 
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as D
@@ -67,3 +68,20 @@ def test_columns_of_any_name_pass(spark):
     rows = at.collect()
     assert len(rows) > 20 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra)
     assert corpus_pipeline.STAGES[-1][1](spark, at, SF).count() == len(rows)
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    for stage in (corpus_pipeline.decontaminated, corpus_pipeline.sentencepiece):
+        spark.conf.unset(key)
+        stage(spark, docs, SF)
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+        long = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 4096).alias("text"))
+        found = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+        assert max(found) < 3 << 19 and sum(found) >= 4000 * 4096
+    spark.conf.unset(key)
