@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import corpus
+from millrace.operators import scoring
+from millrace.plans import corpus, evaluation
 from millrace.plans.catalog import ORACLE, QUERIES
 
 SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
@@ -47,3 +48,10 @@ def test_running_sums_do_not_depend_on_blocks(spark, monkeypatch):
     assert {"kept", "over-budget"} <= {r[2] for r in whole}
     monkeypatch.setattr(corpus, "DROP_BLOCK", 17)
     assert sorted(map(tuple, QUERIES["drop_reasons"](spark, SF).collect())) == whole
+
+
+def test_bootstrap_runs_all_rounds_of_its_operator(spark):
+    errors = evaluation._written(spark, SF).select("conv_id", "turn", "word_errors", "words")
+    whole = scoring.bootstrap_delta(errors.where("conv_id % 2 = 0"), errors.where("conv_id % 2 = 1")).first()
+    assert plain(tuple(QUERIES["bootstrap_delta"](spark, SF).first())) == plain(tuple(whole))
+    assert "range(500)" in ORACLE["bootstrap_delta"] and "round < 2000 " in ORACLE["bootstrap_delta"]
