@@ -172,3 +172,16 @@ def test_what_stays_is_one_of_each_component(spark, seed):
     found = [by_text[x] for x in with_words]
     assert sorted(found) == sorted(best) and all((d is None, d or 0) == best[by_text[d, t]] for d, t in with_words)
     assert len(got) - len(with_words) == sum(not n[i] for i in range(len(rows)))
+
+
+def test_segments_are_stated_in_rounds(spark, monkeypatch):
+    """A round shuffles a share of the segments' hashes, and the rounds together find what one does."""
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made, plain = [], J._statements
+    monkeypatch.setattr(J, "_statements", lambda *a: made.append(plain(*a)) or made[-1])
+    J.keep_one(df)
+    counts = [rows.distinct().count() for rows in made]
+    assert max(counts) < 0.6 * sum(counts) and sum(counts) > 10_000
+    got = J.jaccard_components(df, 5, 80, rounds=3).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 5, 80, 100)
