@@ -144,3 +144,14 @@ def test_similarity_pairs_come_in_stripes(spark):
     whole, parts = (sorted((r.a, r.b, r.book_a or "", r.book_b or "", r.cosine) for r in vectors.similarity_pairs(df, block, stripe).collect()) for block, stripe in ((512, 64), (9, 2)))
     assert len(whole) == 40 * 39 // 2 and [r[:4] for r in whole] == [r[:4] for r in parts]
     assert np.allclose([r[4] for r in whole], [r[4] for r in parts])
+
+
+def test_similarity_pairs_shuffle_no_copies(spark, capsys):
+    """Blocks are read by the tasks that compare them, a pair at a time; before, each was shuffled as often as there are blocks."""
+    df = clips_of(spark, [(i, "ab"[i % 2], [float(i % 7 + 1), float(i % 3), 2.0][: 3 - i % 2]) for i in range(60)])
+    pairs = vectors.similarity_pairs(df, 6)
+    pairs.explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert pairs.count() == pairs.select("a", "b").distinct().count() == 2 * (30 * 29 // 2)
+    assert vectors.similarity_pairs(df.limit(0), 6).count() == 0
